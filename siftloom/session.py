@@ -20,6 +20,7 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SIFTLOOM_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
