@@ -4,6 +4,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NORM = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 ORACLES = {
+    "op2_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+             l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+             w AS (SELECT *, greatest(len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')), 1) AS words FROM l),
+             b AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY rid ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                          sum(words) OVER (PARTITION BY rid) AS total FROM w),
+             r AS (SELECT rid, doc_id, line,
+                          string_agg(content, chr(10)) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run,
+                          count(*) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS depth,
+                          total - start >= 50 AS long_enough FROM b),
+             c AS (SELECT rid, line, depth, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, line) AS k FROM r WHERE long_enough),
+             gone AS (SELECT DISTINCT rid, unnest(range(line, line + depth)) AS line FROM c WHERE k > 1),
+             m AS (SELECT l.*, gone.line IS NOT NULL AS del FROM l LEFT JOIN gone ON l.rid = gone.rid AND l.line = gone.line),
+             e AS (SELECT *, del AND NOT coalesce(lag(del) OVER (PARTITION BY rid ORDER BY line), false) AS opens FROM m),
+             kept AS (
+               SELECT rid, count(*) AS n_lines, count(*) FILTER (opens) AS n_runs, count(*) FILTER (del) AS n_deleted,
+                      coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (NOT del), '') AS text FROM e GROUP BY rid)
+        SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_runs AS BIGINT) AS n_runs, CAST(n_deleted AS BIGINT) AS n_deleted,
+               CAST(length(kept.text) AS BIGINT) AS kept_chars, sha256(kept.text) AS kept_sha256
+        FROM d JOIN kept USING (rid)
+    """,
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {NORM} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

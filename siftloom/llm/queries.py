@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom.llm import chat_format, decontaminate, exact_dedup, mixing, quality, simhash, tokens
+from siftloom.llm import chat_format, decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, simhash, tokens, url_filter
 from siftloom.llm.common import table
 from siftloom.session import ship
 
 TOKEN_LIMIT = 1024
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -21,6 +22,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", F.size("spans").cast("long").alias("n_runs"), "n_deleted", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = quality.train(docs, labels.filter(~quality.held_out()))
@@ -54,7 +64,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.url_rule(*r) for r in URL_RULES])
+
+
 QUERIES = (
+    op1_license_scan,
+    op2_line_dedup,
     op3_quality_classifier,
     op4_token_counts,
     op5_exact_dedup,
@@ -62,6 +78,7 @@ QUERIES = (
     op7_chat_formatting,
     op8_simhash_near_dedup,
     op9_source_mixing,
+    op10_url_filter,
 )
 
 
