@@ -273,3 +273,16 @@ def rules() -> list[tuple[int, str, str, str, str]]:
     base = [(label, phrase.split()[-1], "base", f"(?<!{word}){gap.join(phrase.split())}(?!{word})") for phrase, label in BASE]
     more = [tuple(line.split(";", 3)) for line in RULES.strip().splitlines()]
     return [(k, label, keyword, kind, f"(?i){regex}") for k, (label, keyword, kind, regex) in enumerate([*base, *more])]
+
+
+#: Parts that many keywords share.
+SHARED_STEMS = ("licen", "gpl", "spdx", "public", "creative", "copyright", "software", "apache", "gnu", "epl", "mpl", "open", "restrict", "distribut", "permission", "commercial", "by-", "nc-", "-1.0", "-2.0", "-3.0")
+
+
+def stems() -> list[str]:
+    """Few texts, at least one of which is in every keyword."""
+    rest = {k for _, _, k, _, _ in rules() if not any(s in k for s in SHARED_STEMS)}
+    return [*SHARED_STEMS, *sorted(k for k in rest if not any(o != k and o in k for o in rest))]
+
+
+STEMS = stems()

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.license_rules import PRIORITY, WEIGHT, rules
+from siftloom.llm.license_rules import PRIORITY, STEMS, WEIGHT, rules
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 LEVELS = sorted(set(PRIORITY.values()))
@@ -73,13 +73,25 @@ def resolved(found: Column) -> Column:
     return F.aggregate(F.array_sort(F.transform(found, order)), nothing, step, lambda acc: acc["kept"])
 
 
+def keywords_in(small: Column) -> Column:
+    """The rules' keywords that a text in lower case holds.
+
+    A text without any of the few stems, one of which is in every keyword, needs no look
+    at the keywords themselves.
+    """
+    words = sorted({r[2] for r in rules()})
+    stem = F.lit(False)
+    for s in STEMS:
+        stem = stem | F.contains(small, F.lit(s))
+    held = F.array_compact(F.array(*(F.when(F.contains(small, F.lit(w)), w) for w in words)))
+    return F.when(stem, held).otherwise(F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_words and the resolved detections (start, stop, priority, rule, label, kind) of each row."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     small = text.withColumn("small", F.lower("text"))
-    words = sorted({r[2] for r in rules()})
-    gate = F.filter(F.array(*map(F.lit, words)), lambda k: F.contains(F.col("small"), k))
-    gated = small.select("doc_id", "text", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), gate.alias("keywords"))
+    gated = small.select("doc_id", "text", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), keywords_in(F.col("small")).alias("keywords"))
     none = F.array().cast(f"array<{DETECTION}>")
     found = gated.withColumn("found", F.when(F.size("keywords") > 0, detections(F.col("text"), F.col("keywords"))).otherwise(none))
     return found.select("doc_id", "text", "n_words", F.when(F.size("found") > 0, resolved(F.col("found"))).otherwise(none).alias("detections"))
