@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.llm.common import text_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that an attachment expands to.
 IMAGE_PATCH, AUDIO_TOKENS_A_SECOND, TOKENS_A_PAGE = 28, 25, 600
@@ -128,7 +130,7 @@ def render(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
             cols = [conv, turn, role, [m["text"] for m in made], [m["formatted"] for m in made], [m["loss"][0] for m in made], [m["loss"][1] for m in made], [json.dumps(m["attachments"]) for m in made]]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, RENDERED)
+    return text_batches(rows).mapInArrow(run, RENDERED)
 
 
 def read_back(rendered: DataFrame) -> DataFrame:

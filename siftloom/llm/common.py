@@ -45,6 +45,29 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of narrow tables (ids and digests, 100 bytes a row at most) that may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table for a join: broadcast if its rows, counted, are few; else joined as it is."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
+#: Rows of an Arrow batch of texts: few, since a text may be long.
+TEXT_ROWS = 1000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, in a session whose Arrow batches hold TEXT_ROWS rows at most, so that a worker holds few texts at once."""
+    conf = docs.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return docs
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is.
 

@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.llm.common import text_batches
+
 N, THRESHOLD = 5, 0.8
 BLOCK_SHINGLES = 2_000_000
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 #: Bytes of a word as they are, A-Z in lower case, all others as a space.
 TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127) else 32 for b in range(256))
 
@@ -161,7 +163,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRE
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        parts.append(rows.mapInArrow(run, schema))
+        parts.append(text_batches(rows).mapInArrow(run, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -180,5 +182,5 @@ def clean(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRE
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_batches(docs).mapInArrow(run, docs.schema)
     return docs

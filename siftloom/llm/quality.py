@@ -20,6 +20,7 @@ each scored; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.llm.common import text_batches
+
 BITS, SCALE, SAMPLE, EPOCHS = 18, 20.0, 8000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-3
 THRESHOLD = 0.3
-MOST_WORDS = 200_000
+MOST_WORDS = 60_000
 #: Letters, digits and bytes of other letters count as one class in a shape.
 SHAPE = bytes(97 if chr(b).isalnum() or b > 127 else b for b in range(256))
 
@@ -109,13 +112,17 @@ class Ftrl:
 
 def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights and intercept from (text, label) rows in their order."""
-    model, seen = Ftrl(bits), []
+    at, x, ends, labels = array("i"), array("f"), [0], []
     for text, label in rows:
-        at, count = np.unique(features(text, bits), return_counts=True)
-        seen.append((at, (SCALE * count / max(1, count.sum())), int(label)))
+        where, count = np.unique(features(text, bits), return_counts=True)
+        at.frombytes(where.astype(np.int32).tobytes())
+        x.frombytes((SCALE * count / max(1, count.sum())).astype(np.float32).tobytes())
+        ends.append(len(at))
+        labels.append(int(label))
+    at, x, model = np.asarray(at), np.asarray(x), Ftrl(bits)
     for _ in range(epochs):
-        for at, x, label in seen:
-            model.learn(at, x, label)
+        for a, b, label in zip(ends, ends[1:], labels, strict=False):
+            model.learn(at[a:b], x[a:b].astype(np.float64), label)
     return model.weights().astype(np.float32)
 
 
@@ -137,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         held = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         yield pa.record_batch([pa.array([fit(held, bits).tobytes()], pa.binary())], names=["weights"])
 
-    made = one.mapInArrow(run, "weights binary").collect()
+    made = text_batches(one).mapInArrow(run, "weights binary").collect()
     return np.frombuffer(bytes(made[0]["weights"]), np.float32) if made else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -156,7 +163,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 out.append(predict(text, w, bits))
             yield pa.record_batch([batch.column(0), *(batch.column(2 + k) for k in range(len(keep))), pa.array(out, pa.float64())], names=["doc_id", *keep, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -169,7 +176,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
         for batch in batches:
             yield batch.filter(pa.array([predict(t, sent.value, bits) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
