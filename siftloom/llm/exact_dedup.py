@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import ascii_lower, cut
+from siftloom.llm.common import ascii_lower, cut, sized
 
 MIN_CHARS, MAX_CHARS = 256, 4096
 
@@ -76,6 +76,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = cut(recipes(docs, id_col, text_col, chunk_hash))
     repeated = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1")
     ids = made.join(repeated.select("recipe"), "recipe", "left_semi").select(F.col("doc_id").alias("again")).distinct()
+    ids = sized(ids)
     rows = normalised(docs, id_col, text_col)
     rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
     ambiguous = cut(ambiguous_chunks(rows, chunk_hash))
@@ -95,9 +96,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal rows, all columns; repeated rows are reduced to one as well."""
-    several = cut(exact_groups(docs, id_col, text_col).filter("group_size > 1").select("text_sha256", F.col("keep_id").alias("largest")).distinct())
-    marked = docs.withColumn("sha of text", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    hit = marked.join(several, F.col("sha of text") == F.col("text_sha256"), "left")
-    single = hit.filter(F.col("text_sha256").isNull())
-    keeper = hit.filter(F.col("text_sha256").isNotNull() & F.col(id_col).eqNullSafe(F.col("largest"))).dropDuplicates(["text_sha256"])
-    return single.unionByName(keeper).select(*docs.columns)
+    several = exact_groups(docs, id_col, text_col).filter("group_size > 1")
+    known = several.groupBy(F.col("doc_id").alias("__known_id"), F.col("text_sha256").alias("__known_sha")).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("twins"))
+    known = cut(known)
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    same = F.col(id_col).eqNullSafe(F.col("__known_id")) & (sha == F.col("__known_sha"))
+    stay = docs.join(sized(known.filter("NOT kept OR twins > 1").select("__known_id", "__known_sha")), same, "left_anti")
+    twins = docs.join(sized(known.filter("kept AND twins > 1").select("__known_id", "__known_sha")), same).dropDuplicates(["__known_id", "__known_sha"])
+    return stay.unionByName(twins.select(*docs.columns))

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import cut
+from siftloom.llm.common import cut, sized, text_batches
 from siftloom.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return text_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def remainder(word: int) -> int:
@@ -174,8 +174,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their group, all columns; a row without an id stays."""
-    gone = near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(sized(gone), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
