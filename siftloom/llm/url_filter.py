@@ -72,6 +72,10 @@ def ruled(rules: list[UrlRule], host: Column, path: Column) -> tuple[Column, Col
     return (none, none) if name is None else (name, verdict)
 
 
+def marked(kind: str, words: Column) -> Column:
+    return F.transform(words, lambda x: F.concat(F.lit(kind), x))
+
+
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens of a URL; digits read as one sign."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
@@ -80,7 +84,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
     scheme = F.array(F.concat(F.lit("scheme:"), ascii_lower(F.substring_index(F.coalesce(url, F.lit("")), "://", 1))))
     last = F.when(F.size(labels) > 0, F.array(F.concat(F.lit("tld:"), F.element_at(labels, -1)))).otherwise(F.array().cast("array<string>"))
-    named = [F.transform(c, lambda x, p=p: F.concat(F.lit(p), x)) for c, p in ((labels, "host:"), (segments, "path:"), (keys, "query:"))]
+    named = [marked("host:", labels), marked("path:", segments), marked("query:", keys)]
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(scheme, last, *named)))
 
 
