@@ -6,7 +6,8 @@ probability f - floor(f). Which documents get the further copy is a balanced sam
 the flight phase moves the vector of probabilities through the null space of the
 constraints (words and documents of a source), so both totals stay as they are while
 one probability after the other reaches 0 or 1. At most two stay fractional for the
-two constraints; the landing phase decides these few.
+two constraints; the landing phase decides these few, and makes up for their rounding by one
+exchange of like documents.
 
 The flight runs in blocks of ``BLOCK`` documents of one source, so a hot source is
 many tasks. What a block leaves (two documents at most) goes to blocks of the next
@@ -106,18 +107,32 @@ def flight(probs: np.ndarray, sizes: np.ndarray, key: str) -> np.ndarray:
 
 
 def landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Decides the few fractional entries: of all roundings, the one whose words come nearest to the expected ones."""
+    """Decides the few fractional entries: of all roundings, the one whose words come nearest to the expected ones.
+
+    What is then missing or too much is made up by the best exchange of one document that
+    is in for one that is out, which leaves the number of documents as it is.
+    """
     out = p.copy()
     open_ = [i for i in range(len(p)) if 0 < p[i] < 1]
     want = float((p[open_] * sizes[open_]).sum())
     best: tuple | None = None
     for bits in range(1 << len(open_)):
         take = [(bits >> k) & 1 for k in range(len(open_))]
-        off = abs(sum(t * sizes[i] for t, i in zip(take, open_, strict=True)) - want)
-        if best is None or (off, bits) < best[:2]:
+        off = sum(t * sizes[i] for t, i in zip(take, open_, strict=True)) - want
+        if best is None or (abs(off), bits) < (abs(best[0]), best[1]):
             best = (off, bits, take)
     for t, i in zip(best[2], open_, strict=True):
         out[i] = float(t)
+    inside, outside = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+    if not len(inside) or not len(outside):
+        return out
+    outside = outside[np.argsort(sizes[outside], kind="stable")]
+    at = np.searchsorted(sizes[outside], sizes[inside] - best[0])
+    near = np.stack([np.clip(at - 1, 0, len(outside) - 1), np.clip(at, 0, len(outside) - 1)])
+    left = np.abs(best[0] + sizes[outside][near] - sizes[inside])
+    side, k = np.unravel_index(left.argmin(), left.shape)
+    if left[side, k] < abs(best[0]):
+        out[inside[k]], out[outside[near[side, k]]] = 0.0, 1.0
     return out
 
 
@@ -126,12 +141,12 @@ STATE = T.StructType(
 )
 
 
-def fly(rows: DataFrame, level: int, seed: str, last: bool) -> DataFrame:
-    """One level of flights; rows has a column ``block`` beside the state. With ``last`` it lands too."""
+def fly(rows: DataFrame, level: int, seed: str) -> DataFrame:
+    """One level of flights; rows has ``block`` and ``lands`` beside the state. A source that lands is in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        at = None
+        at, lands = None, False
         names = [f.name for f in STATE]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
 
@@ -139,18 +154,18 @@ def fly(rows: DataFrame, level: int, seed: str, last: bool) -> DataFrame:
             held.sort(key=lambda r: (r[2], r[1], r[0] is None, r[0] or 0))  # documents of like size meet
             sizes = np.array([r[2] for r in held], dtype=float)
             p = flight(np.array([r[5] for r in held]), sizes, f"{seed}/{level}/{at}")
-            p = landing(p, sizes) if last else p
+            p = landing(p, sizes) if lands else p
             cols = [*list(zip(*held, strict=True))[:5], p.tolist()]
             return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*names, "block")]
-            for *row, block in zip(*cols, strict=True):
+            cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*names, "block", "lands")]
+            for *row, block, last in zip(*cols, strict=True):
                 if (row[3], block) != at:
                     if held:
                         yield done()
                         held.clear()
-                    at = (row[3], block)
+                    at, lands = (row[3], block), last
                 held.append(tuple(row))
         if held:
             yield done()
@@ -161,6 +176,8 @@ def fly(rows: DataFrame, level: int, seed: str, last: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_COPIES, seed: str = "mix", block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every document."""
+    if block < 8:
+        raise ValueError("a block holds eight documents at least")
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     sized = cut(docs.select("doc_id", words.alias("size"), "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("tie")))
@@ -172,24 +189,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_CO
     rows = rows.withColumn("p", F.when((F.col("p") < EPS) | (F.col("size") == 0), 0.0).otherwise(F.col("p")))
     state = [f.name for f in STATE]
     settled = [rows.filter("p = 0").select(*state)]
-    blocks = F.ceil(F.col("source_rows") / block)
-    level, most = 0, max((n for _, _, n, _ in per), default=0)
-    moving = rows.filter("p > 0").select(*state, F.pmod("tie", blocks).cast("long").alias("block"))
-    while True:
-        last = most <= block
-        flown = cut(fly(moving, level, seed, last))
+    facts = plan.select("source_no", "source_size", "target", "source_rows")
+    open_ = rows.filter("p > 0").select(*state)
+    level, most, left = 0, max((n for _, _, n, _ in per), default=0), F.col("source_rows")
+    while most:
+        blocks = F.ceil(left / block).cast("long")
+        placed = open_.join(F.broadcast(facts.select("source_no", "source_rows")), "source_no")
+        placed = placed.select(*state, F.pmod(F.xxhash64("tie", F.lit(level)), blocks).alias("block"), (blocks <= 1).alias("lands"))
+        flown = cut(fly(placed, level, seed))
         settled.append(flown.filter("p = 0 or p = 1"))
-        if last:
+        if most <= block:
             break
-        level, most = level + 1, 2 * -(-most // block)
-        rest = -(-most // block)
-        moving = flown.filter("p > 0 and p < 1").withColumn("block", F.lit(0).cast("long") if rest == 1 else F.pmod(F.xxhash64("tie", F.lit(level)), F.lit(rest)).cast("long"))
+        open_, level, left, most = flown.filter("p > 0 and p < 1"), level + 1, 2 * F.ceil(left / block), 2 * -(-most // block)
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
-    facts = plan.select("source_no", "source_size", "target")
     copies = (F.col("base") + F.col("p").cast("int")).cast("long")
-    return done.join(F.broadcast(facts), "source_no").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return done.join(F.broadcast(facts.drop("source_rows")), "source_no").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def source_plan(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...], cap: int) -> list[tuple]:
