@@ -132,3 +132,29 @@ def test_structured_edits(spark):
     assert by["object_replacement"]["forbidden_after"] == ["old car remains visible in the target region", "a separate old car remains visible in the target region"]
     assert (by["object_addition"]["target_object"], by["object_addition"]["target_region"]) == ("small dog", "near the tree")
     assert by["subject_extraction"]["source_object"] == "lamp"
+
+
+def test_acceptors_see_what_earlier_ones_admitted(spark):
+    from siftloom.operators import judging
+
+    base = {"group_id": 1, "candidate_index": 0, "edit_type": "object_removal", "feasible": False, "reject_reason": "object_detector_contract", "reward": 0.0, "raw_reward": 0.6, "judge_reliable": True, "required_pass": True, "target_present": True, "source_absent": False, "region_pass": True, "judge_semantic": 0.9, "judge_preservation": 0.9, "judge_artifact_free": 0.9, "fill": 0.9, "localization": 0.9, "object_visible_after": 0.1, "is_best": True}
+    rows = [base, base | {"region_pass": False}, base | {"judge_semantic": 0.1}, base | {"is_best": False}, base | {"object_visible_after": None}, base | {"edit_type": "compose", "reject_reason": None}]
+    schema = "group_id int, candidate_index int, edit_type string, feasible boolean, reject_reason string, reward double, raw_reward double, judge_reliable boolean, required_pass boolean, target_present boolean, source_absent boolean, region_pass boolean, judge_semantic double, judge_preservation double, judge_artifact_free double, fill double, localization double, object_visible_after double, is_best boolean"
+    got = judging.readmit(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()
+    want = ["removal_detector", "removal_judge", "removal_structured_absence", None, None, "action_compose"]
+    assert [r["reject_reason"] if not r["feasible"] else r["reject_reason"].removeprefix("accepted_vlm_").removesuffix("_fallback") for r in got] == [w or "object_detector_contract" for w in want]
+    assert [r["reward"] for r in got] == [0.6, 0.6, 0.6, 0.0, 0.0, 0.6]
+
+
+def test_plugins(spark):
+    from siftloom.functions import plugins
+    from siftloom.session import ship
+
+    ship(spark)
+    plugins.register("group", "centre", lambda: lambda rows: rows.assign(x=rows.x - rows.x.mean()))
+    plugins.register("generator", "twice", lambda: lambda r: [r, {**r, "x": -r["x"]}])
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0)], "g long, x double")
+    assert sorted(r["x"] for r in plugins.group(df, "centre", ["g"], "g long, x double").collect()) == [-1.0, 0.0, 1.0]
+    assert plugins.generate(df, "twice", "g long, x double").count() == 6
+    with pytest.raises(ValueError):
+        plugins.backend("scalar", "nothing")
