@@ -1,7 +1,8 @@
 """Preference pairs within groups.
 
 A pair needs one chosen row and some rejected rows of its group. The chosen side is one
-row a group, so the join with the rejected is N:1 on group_id and never a full product.
+row a group, so a window brings it to the rejected rows in the group's own partition,
+without a join.
 Every exit leaves a (group_id, reason) row; ``skips`` counts them.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from siftloom.functions import scoring as s
 from siftloom.functions.text import failure_tags
 from siftloom.operators.gates import ladder
-from siftloom.operators.rank import best_by
+from siftloom.operators.ordinal import numbered
 
 
 @dataclass(frozen=True)
@@ -50,11 +51,12 @@ def evaluator_pairs(df: DataFrame) -> DataFrame:
 
 def sides(df: DataFrame, p: Preference) -> DataFrame:
     """chosen (struct) and rejected (struct) of each possible pair: the best accepted row with the rows that are not accepted."""
-    ok = df.filter((F.col("status") == "accepted") & (F.col("reward") >= p.min_chosen))
-    chosen = best_by(ok, ["group_id"], [F.desc("reward"), F.desc("raw_reward"), F.asc("candidate_index")])
-    chosen = chosen.select("group_id", F.struct(*SIDE).alias("chosen"))
-    rejected = df.filter("status <> 'accepted'").select("group_id", F.struct(*SIDE, tags().alias("failure_tags")).alias("rejected"))
-    return chosen.join(rejected, "group_id")
+    ok = (F.col("status") == "accepted") & (F.col("reward") >= p.min_chosen)
+    order = Window.partitionBy("group_id").orderBy(F.desc(ok), F.desc("reward"), F.desc("raw_reward"), F.asc("candidate_index"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumn("chosen", F.first(F.when(ok, F.struct(*SIDE))).over(whole))
+    rejected = F.struct(*SIDE, tags().alias("failure_tags")).alias("rejected")
+    return rows.filter("status <> 'accepted' AND chosen IS NOT NULL").select("group_id", "chosen", rejected)
 
 
 def tags() -> Column:
@@ -153,6 +155,5 @@ def anchors(pairs: DataFrame, weight_share: float, weight: float) -> DataFrame:
     """Preservation anchors: every pair again with its source as the chosen side, as many as a share of the weight allows."""
     total = pairs.agg(F.sum("weight").alias("_total"))
     room = F.floor(F.col("_total") * weight_share / weight).cast("long")
-    order = Window.orderBy("group_id", F.col("rejected.candidate_index"))
-    ranked = pairs.select("group_id", "rejected", "weight").orderBy("group_id", F.col("rejected.candidate_index")).withColumn("_seq", F.row_number().over(order))
-    return ranked.join(F.broadcast(total)).filter(F.col("_seq") <= room).select("group_id", F.col("rejected.candidate_index").alias("rejected_index"), F.lit("preservation_anchor").alias("family"), F.lit(weight).alias("weight"))
+    ranked = numbered(pairs.select("group_id", F.col("rejected.candidate_index").alias("rejected_index"), "weight"), [F.asc("group_id"), F.asc("rejected_index")], "_seq")
+    return ranked.join(F.broadcast(total)).filter(F.col("_seq") <= room).select("group_id", "rejected_index", F.lit("preservation_anchor").alias("family"), F.lit(weight).alias("weight"))

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import scoring as s
+from siftloom.operators.ordinal import numbered
 
 
 def with_replay(rows: DataFrame, ratio: float, weight: float, order: list[Column], image: str = "edited_image") -> DataFrame:
-    """The rows and, after them, reconstruction rows: max(1, round(n * ratio)) of them, in the rows' order.
-
-    The first of each reconstruction starts over after the last row.
-    """
+    """The rows and, after them, reconstruction rows: max(1, round(n * ratio)) of them, in the rows' order."""
     n = rows.agg(F.count("*").alias("_n"))
     want = s.replay_count(F.col("_n"), ratio)
     base = rows.withColumn("kind", F.lit("sft"))
-    again = rows.orderBy(*order).withColumn("_seq", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(n))
+    again = numbered(rows, order, "_seq").join(F.broadcast(n))
     again = again.filter(F.col("_seq") <= want).drop("_seq", "_n")
     again = again.withColumn("kind", F.lit("reconstruction_replay")).withColumn("weight", F.lit(weight))
     if image in again.columns and "image" in again.columns:

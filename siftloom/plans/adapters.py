@@ -27,11 +27,13 @@ def lookup(x: Column, values: dict[str, str], default: str) -> Column:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of groups (orders), with their scores."""
-    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
+    # named before the first window, so that all windows and aggregates of a group share one exchange
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "group_id")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(*LINE_ORDER)) - 1
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
     return joined.select(
-        F.col("l_orderkey").alias("group_id"),
+        "group_id",
         place.cast("long").alias("candidate_index"),
         F.when(F.col("l_returnflag") == "R", "reference:base").otherwise("policy").alias("role"),
         (F.col("l_quantity") / 50.0).alias("specificity"),

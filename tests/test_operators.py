@@ -158,3 +158,11 @@ def test_plugins(spark):
     assert plugins.generate(df, "twice", "g long, x double").count() == 6
     with pytest.raises(ValueError):
         plugins.backend("scalar", "nothing")
+
+
+def test_numbers_over_a_total_order(spark):
+    from siftloom.operators.ordinal import numbered
+
+    df = spark.range(0, 500, numPartitions=7).select((F.col("id") * 7919 % 500).alias("x"))
+    assert [(r["x"], r["ordinal"]) for r in numbered(df, [F.desc("x")]).orderBy("ordinal").collect()] == [(499 - k, k + 1) for k in range(500)]
+    assert numbered(df.limit(0), [F.asc("x")]).count() == 0
