@@ -192,3 +192,41 @@ def role_matches(role: Column, patterns: list[str]) -> Column:
 
 def record_path(path: Column, base: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+
+
+def detector_phrase(x: Column) -> Column:
+    """The words a detector is asked for: no article, nothing after a relation, no leading size or colour word."""
+    cut = F.regexp_replace(strip_article(F.lower(x)), rf"\s+(?:{'|'.join(RELATIONS)}|with|of)\s+.*$", "")
+    return F.nullif(F.trim(F.regexp_replace(cut, r"^(?:(?:small|large|big|tiny|old|young|red|blue|green|black|white)\s+)+(?=\S)", "")), F.lit(""))
+
+
+def rubric_prompts(required: Column, forbidden: Column, scope: Column, most: int = 3) -> Column:
+    """The first texts to score, each in its scope, without case-insensitive repeats."""
+    both = F.concat(F.coalesce(required, F.array().cast("array<string>")), F.coalesce(forbidden, F.array().cast("array<string>")))
+    scoped = F.transform(both, lambda t: F.when(F.contains(F.lower(t), F.lower(scope)), t).otherwise(F.concat(t, F.lit(" in "), scope)))
+
+    def step(acc: Column, t: Column) -> Column:
+        return F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(t)), acc).otherwise(F.concat(acc, F.array(t)))
+
+    return F.slice(F.aggregate(scoped, F.array().cast("array<string>"), step), 1, most)
+
+
+def caption_objects(caption: Column, nouns: tuple[str, ...], modifiers: int = 3, most: int = 5) -> Column:
+    """Nouns of a caption with up to three words before them that are no stop words, in order, distinct."""
+    words = F.regexp_extract_all(F.lower(caption), F.lit("[a-z0-9]+"), F.lit(0))
+    stops = ("a", "an", "in", "on", "at", "of", "is", *STOPWORDS)
+
+    def phrase(w: Column, i: Column) -> Column:
+        before = F.slice(words, F.greatest(i - modifiers, F.lit(0)) + 1, F.least(i, F.lit(modifiers)))
+        kept = F.aggregate(before, F.array().cast("array<string>"), lambda acc, x: F.when(x.isin(*stops) | x.isin(*nouns), F.array().cast("array<string>")).otherwise(F.concat(acc, F.array(x))))
+        return F.when(w.isin(*nouns), F.concat_ws(" ", F.array_join(F.concat(kept, F.array(w)), " ")))
+
+    return F.slice(F.array_distinct(F.array_compact(F.transform(words, phrase))), 1, most)
+
+
+def number_map(x: Column) -> Column:
+    """Text of the form ``name:number, name=number`` or a JSON object as a map; what is no number is left out."""
+    pairs = F.transform(F.split(x, r"\s*[,;]\s*"), lambda p: F.split(p, r"\s*[:=]\s*"))
+    good = F.filter(pairs, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != "") & F.get(p, F.lit(1)).try_cast("double").isNotNull())
+    plain = F.map_from_entries(F.transform(good, lambda p: F.struct(F.trim(F.get(p, F.lit(0))), F.get(p, F.lit(1)).try_cast("double"))))
+    return F.when(F.trim(x).startswith("{"), F.from_json(x, "map<string,double>")).otherwise(plain)

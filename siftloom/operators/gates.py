@@ -170,3 +170,34 @@ def with_overrides(df: DataFrame, key: str, base: dict[str, float], overrides: D
     for name, value in base.items():
         out = out.withColumn(f"min_{name}", F.coalesce(f"_{name}", F.lit(value)))
     return out.drop("_key", *(f"_{n}" for n in base))
+
+
+def near_miss(edit_types: tuple[str, ...], reasons: tuple[str, ...], floors: dict[str, float], min_confidence: float) -> Column:
+    """Why a rejected row is no verified near miss, the first reason that applies; null if it is one."""
+    c = F.col
+    return ladder(
+        [
+            ("near_miss_status", c("status") != "rejected"),
+            ("near_miss_edit_type", ~c("edit_type").isin(*edit_types)),
+            ("near_miss_reject_reason", ~F.coalesce(c("reject_reason").isin(*reasons), F.lit(False))),
+            ("near_miss_judge_unsupported", ~F.coalesce(c("judge_supported"), F.lit(False))),
+            ("near_miss_judge_confidence", F.coalesce(c("judge_score"), F.lit(0.0)) < min_confidence),
+            *((f"near_miss_{n}_below_floor", F.coalesce(s.finite(c(n)), F.lit(-1.0)) < floor) for n, floor in floors.items()),
+        ]
+    )
+
+
+def calibration(floors: list[tuple[str, Column, float]], weights: list[tuple[Column, float]], least: float, power: float = 1.0) -> tuple[Column, Column]:
+    """Reason (first floor missed) and multiplier from the weighted confidence of a chosen row."""
+    reason = ladder([(f"generalization_{n}_below_floor", F.coalesce(v < floor, F.lit(True))) for n, v, floor in floors])
+    return reason, F.pow(F.greatest(F.lit(least), s.clamp(s.weighted_mean(weights, 0.0))), F.lit(power))
+
+
+def axis_score(values: list[Column], how: str) -> Column:
+    """The present values of an axis by their least, mean or greatest."""
+    present = F.array_compact(F.array(*values))
+    if how == "mean":
+        return F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
+    if how not in ("min", "max"):
+        raise ValueError(f"no such reduction: {how}")
+    return (F.array_min if how == "min" else F.array_max)(present)
