@@ -9,7 +9,8 @@ are counted.
 
 A row is scanned on its own: there is no shuffle, and a hot source, copies or a common
 line make no large task. Detections are swept in order of their start with the furthest
-end so far of each priority, so a text with many detections takes n log n comparisons.
+end so far of each priority, so a text with many detections takes n log n comparisons,
+and its lists are built in pieces.
 
 Defined results: a null text is empty and has no words, labels or places; its score is
 0. Repeated rows are each scanned; an empty table gives an empty result; further
@@ -18,6 +19,8 @@ columns are ignored. first_word and last_word are null without a base phrase.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from siftloom.llm.license_rules import PRIORITY, STEMS, WEIGHT, rules
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 LEVELS = sorted(set(PRIORITY.values()))
+#: Results collected at once; see swept.
+PIECE = 256
 DETECTION = "struct<start:int,stop:int,priority:int,rule:int,label:string,kind:string>"
 
 
@@ -32,18 +37,33 @@ def rule_table() -> Column:
     return F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(kind).alias("kind"), F.lit(PRIORITY[kind]).alias("priority"), F.lit(regex).alias("regex")) for k, label, word, kind, regex in rules()))
 
 
-def places(text: Column, r: Column, matches: Column, between: Column) -> Column:
-    """The detections of one rule: its matches with their start and end, from the texts between them."""
+def swept(items: Column, zero: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state, item) of each item in order, where advance(state, item) is the state for the next one.
+
+    Results are collected in pieces of PIECE items, each from the state before it; an
+    array that grew item by item would be copied as often as it has items.
+    """
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        stop = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["kind"].alias("kind"))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return F.struct(advance(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out"))
+
+    def piece(k: Column) -> Column:
+        before = F.aggregate(F.slice(items, F.lit(1), k * PIECE), zero, advance)
+        return F.aggregate(F.slice(items, k * PIECE + 1, F.lit(PIECE)), F.struct(before.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
+
+    pieces = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int"))
+    return F.when(F.size(items) > 0, F.flatten(F.transform(pieces, piece))).otherwise(F.array().cast(f"array<{kind}>"))
+
 
-    pieces = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(b.alias("before"), m.alias("match")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{DETECTION}>").alias("found"))
-    return F.aggregate(pieces, nothing, step, lambda acc: acc["found"])
+def places(r: Column, matches: Column, between: Column) -> Column:
+    """The detections of one rule: its matches with their start and end, from the texts between them."""
+    lengths = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(F.length(b).alias("before"), F.length(m).alias("own")))
+
+    def found(at: Column, x: Column) -> Column:
+        start = at + x["before"]
+        return F.struct(start.alias("start"), (start + x["own"]).alias("stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["kind"].alias("kind"))
+
+    return F.get(F.transform(F.array(lengths), lambda l: swept(l, F.lit(0), lambda at, x: at + x["before"] + x["own"], found, DETECTION)), F.lit(0))
 
 
 def detections(text: Column, keywords: Column) -> Column:
@@ -51,7 +71,7 @@ def detections(text: Column, keywords: Column) -> Column:
     gated = F.filter(rule_table(), lambda r: F.array_contains(keywords, r["keyword"]))
     run = F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(text, r["regex"], F.lit(0)).alias("m")))
     hit = F.transform(F.filter(run, lambda x: F.size(x["m"]) > 0), lambda x: F.struct(x["r"].alias("r"), x["m"].alias("m"), F.split(text, x["r"]["regex"], -1).alias("b")))
-    return F.flatten(F.transform(hit, lambda x: places(text, x["r"], x["m"], x["b"])))
+    return F.flatten(F.transform(hit, lambda x: places(x["r"], x["m"], x["b"])))
 
 
 def resolved(found: Column) -> Column:
@@ -60,17 +80,19 @@ def resolved(found: Column) -> Column:
     def order(d: Column) -> Column:
         return F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), (-d["priority"]).alias("weak"), d["rule"].alias("rule"), d.alias("d"))
 
-    def step(acc: Column, x: Column) -> Column:
-        d = x["d"]
-        covered = F.lit(False)
+    def stays(ends: Column, x: Column) -> Column:
+        d, covered = x["d"], F.lit(False)
         for p in LEVELS:
-            covered = covered | ((d["priority"] <= p) & (acc[f"end{p}"] >= d["stop"]))
-        stays = (d["kind"] == "base") | ~covered
-        ends = [F.when(d["priority"] == p, F.greatest(acc[f"end{p}"], d["stop"])).otherwise(acc[f"end{p}"]).alias(f"end{p}") for p in LEVELS]
-        return F.struct(*ends, F.when(stays, F.concat(acc["kept"], F.array(d))).otherwise(acc["kept"]).alias("kept"))
+            covered = covered | ((d["priority"] <= p) & (ends[f"end{p}"] >= d["stop"]))
+        return F.when((d["kind"] == "base") | ~covered, d)
+
+    def advance(ends: Column, x: Column) -> Column:
+        d = x["d"]
+        return F.struct(*(F.when(d["priority"] == p, F.greatest(ends[f"end{p}"], d["stop"])).otherwise(ends[f"end{p}"]).alias(f"end{p}") for p in LEVELS))
 
-    nothing = F.struct(*(F.lit(-1).alias(f"end{p}") for p in LEVELS), F.array().cast(f"array<{DETECTION}>").alias("kept"))
-    return F.aggregate(F.array_sort(F.transform(found, order)), nothing, step, lambda acc: acc["kept"])
+    nothing = F.struct(*(F.lit(-1).alias(f"end{p}") for p in LEVELS))
+    ordered = F.array_sort(F.transform(found, order))
+    return F.array_compact(F.get(F.transform(F.array(ordered), lambda o: swept(o, nothing, advance, stays, DETECTION)), F.lit(0)))
 
 
 def keywords_in(small: Column) -> Column:

@@ -104,22 +104,26 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found
 
 
-def merged(runs: Column) -> Column:
-    """Sorted (start, stop) runs, those that overlap or touch as one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+def deleted_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, mark and the spans of lines to delete, of the documents that have any.
 
-    return F.aggregate(F.array_sort(runs), F.array().cast(SPANS), step)
+    A run that starts after all before it have ended opens a span; so a document's runs are
+    merged in one pass over them.
+    """
+    runs = repeated_runs(rows, min_words).select("doc", "mark", F.col("line").alias("start"), (F.col("line") + F.col("depth")).alias("stop"))
+    before = Window.partitionBy("doc", "mark").orderBy("start", "stop")
+    opens = F.coalesce(F.col("start") > F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    placed = runs.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = placed.groupBy("doc", "mark", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def deleted_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, mark and the spans of lines to delete, of the documents that have any."""
-    runs = repeated_runs(rows, min_words).groupBy("doc", "mark").agg(F.collect_set(F.struct(F.col("line").alias("start"), (F.col("line") + F.col("depth")).alias("stop"))).alias("runs"))
-    return runs.select("doc", "mark", merged(F.col("runs")).alias("spans"))
+def lines_kept(lines: Column, spans: Column) -> Column:
+    """The lines between the spans."""
+    size = F.size(lines)
+    bounds = F.concat(spans, F.array(F.struct(size.alias("start"), size.alias("stop"))))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["stop"]))
+    return F.flatten(F.zip_with(ends, bounds, lambda end, x: F.slice(lines, end + 1, x["start"] - end)))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,8 +131,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     rows = keyed(docs, id_col, text_col)
     spans = deleted_spans(rows, min_words).withColumnsRenamed({"doc": "doc2", "mark": "mark2"})
     out = rows.join(spans, (F.col("doc") == F.col("doc2")) & (F.col("mark") == F.col("mark2")), "left").withColumn("lines", lines_of("text"))
-    gone = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["stop"]))
-    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~gone(i)), "\n"))
+    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(lines_kept(F.col("lines"), F.col("spans")), "\n"))
     spans = F.coalesce("spans", F.array().cast(SPANS))
     return out.select(
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"),
