@@ -114,15 +114,15 @@ def distractor_topn_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {values_sql()}, r AS (SELECT doc_id, lang FROM documents WHERE doc_id % 25 = 0),
+    WITH {values_sql()}, r AS (SELECT doc_id, lang FROM documents),
     t AS (SELECT r.doc_id, b.operation_id, CASE WHEN b.family = CASE lang WHEN 'en' THEN 'color' WHEN 'fr' THEN 'style' ELSE 'tone' END THEN 0 WHEN b.scope = 'local' THEN 1 ELSE 2 END AS tier,
                  sha256('42' || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || b.operation_id) AS digest FROM r JOIN bank b ON b.difficulty <= 2),
     o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tier, digest) AS BIGINT) AS place FROM t)
     SELECT doc_id, operation_id, CAST(tier AS BIGINT) AS tier, place FROM o WHERE place <= 2
 """)
 def tiered_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two operations for every record of a round (one shard in 25), by tier, then by hash."""
-    d = a.table(spark, sf_dir, "documents").filter("doc_id % 25 = 0").select("doc_id", "lang")
+    """Two operations for every record, by tier, then by hash."""
+    d = a.table(spark, sf_dir, "documents").select("doc_id", "lang")
     primary = F.when(F.col("lang") == "en", "color").when(F.col("lang") == "fr", "style").otherwise("tone")
     return tiered(d, "doc_id", primary, bank(spark, 2), 2, seed=42)
 
