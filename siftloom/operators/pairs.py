@@ -157,3 +157,68 @@ def anchors(pairs: DataFrame, weight_share: float, weight: float) -> DataFrame:
     room = F.floor(F.col("_total") * weight_share / weight).cast("long")
     ranked = numbered(pairs.select("group_id", F.col("rejected.candidate_index").alias("rejected_index"), "weight"), [F.asc("group_id"), F.asc("rejected_index")], "_seq")
     return ranked.join(F.broadcast(total)).filter(F.col("_seq") <= room).select("group_id", "rejected_index", F.lit("preservation_anchor").alias("family"), F.lit(weight).alias("weight"))
+
+
+@dataclass(frozen=True)
+class Stages:
+    """Knobs of the stages that a group passes before its pairs are made."""
+
+    min_rows: int = 2
+    pass_rate: tuple[float, float] = (0.10, 0.90)
+    min_anchors: int = 1
+    prefer_margin: float = 0.05
+    min_success: int = 1
+    success_need: float = 2.0
+    success_least: float = 0.5
+    min_edit: float = 0.45
+    min_validity: float = 0.55
+
+
+def group_stages(df: DataFrame, p: Preference, st: Stages, near: Column, success: Column) -> DataFrame:
+    """One row a group: the chosen row and its kind, the stage that drops the group and why, the consistency multiplier.
+
+    near marks verified near misses, success the strict successes. One aggregate makes all
+    the evidence; the stages are a ladder over it.
+    """
+    c = F.col
+    ok = (c("status") == "accepted") & (c("reward") >= p.min_chosen)
+    side = F.struct(c("reward").alias("score"), c("raw_reward").alias("raw"), (-c("candidate_index")).alias("place"), c("edit").alias("edit"), c("validity").alias("validity"))
+    near_side = F.struct(c("raw_reward").alias("score"), c("raw_reward").alias("raw"), (-c("candidate_index")).alias("place"), c("edit").alias("edit"), c("validity").alias("validity"))
+    g = df.groupBy("group_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(success).alias("n_success"),
+        F.count_if(c("status") == "accepted").alias("anchors"),
+        F.max(F.when(ok, side)).alias("best"),
+        F.max(F.when(near, near_side)).alias("near"),
+    )
+    wins = c("near").isNotNull() & (c("anchors") >= st.min_anchors) & (c("best").isNull() | (c("near.score") >= c("best.score") + st.prefer_margin))
+    g = g.withColumn("kind", F.when(wins, "verified_rejected").when(c("best").isNotNull(), "accepted"))
+    g = g.withColumn("chosen", F.when(wins, c("near")).otherwise(c("best"))).withColumn("rate", c("n_success") / c("n"))
+    low, high = st.pass_rate
+    rungs = [
+        ("rows", "too_few_images", c("n") < st.min_rows),
+        ("productivity", "productive_group_pass_rate_too_low", c("rate") < low),
+        ("productivity", "productive_group_pass_rate_too_high", c("rate") > high),
+        ("choice", "verified_rejected_no_anchor", c("kind").isNull() & c("near").isNotNull()),
+        ("choice", "no_accepted_chosen", c("kind").isNull()),
+        ("consistency", "success_consistency_count", c("n_success") < st.min_success),
+        ("calibration", "generalization_edit_below_floor", c("chosen.edit") < st.min_edit),
+        ("calibration", "generalization_validity_below_floor", c("chosen.validity") < st.min_validity),
+    ]
+    stage = F.coalesce(ladder([(s_, cond) for s_, _, cond in rungs]), F.lit("passed"))
+    reason = F.coalesce(ladder([(r, cond) for _, r, cond in rungs]), F.lit("passed"))
+    return g.select(
+        "group_id",
+        "kind",
+        (-c("chosen.place")).alias("chosen_index"),
+        stage.alias("stage"),
+        reason.alias("reason"),
+        s.success_multiplier(c("n_success"), st.success_need, st.success_least).alias("multiplier"),
+    )
+
+
+def conservative_score(raw: Column, semantic: list[Column], preservation: list[Column], validity: list[Column], taxonomy: Column, judge: list[Column], judge_counts: Column) -> Column:
+    """A row's cautious score: the best of its semantic, the worst of its other axes, and the judge's terms where they count."""
+    known = lambda xs, f: f(F.array_compact(F.array(*xs)))
+    axes = [raw, known(semantic, F.array_max), known(preservation, F.array_min), known(validity, F.array_min), taxonomy]
+    return s.geometric_mean([*axes, *(F.when(judge_counts, j) for j in judge)])

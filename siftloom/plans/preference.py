@@ -115,3 +115,43 @@ def hard_negative_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_noop_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = a.judged(spark, sf_dir).filter("accepted")
     return pairs.noop_negatives(chosen, ["object_removal", "object_replacement"]).select("group_id", F.col("candidate_index").cast("long"), "edit_type", "status")
+
+
+ST = pairs.Stages()
+NEAR = "status = 'rejected' AND edit_type IN ('object_removal', 'object_replacement', 'color_change') AND coalesce(reject_reason IN ('cepr_validity', 'cepr_taxonomy'), false) AND judge_supported AND judge_score >= 4e-1 AND edit >= 3e-1"
+SUCCESS = "CASE WHEN judge_supported THEN judge_score >= 55e-2 ELSE status = 'accepted' END"
+
+
+@query(f"""
+    WITH {a.CANDIDATES}, m AS (SELECT *, {NEAR} AS near, {SUCCESS} AS success, status = 'accepted' AND reward >= 3e-1 AS ok FROM judged),
+    o AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY ok DESC, reward DESC, raw_reward DESC, candidate_index) AS ko, row_number() OVER (PARTITION BY group_id ORDER BY near DESC, raw_reward DESC, candidate_index) AS kn FROM m),
+    g AS (SELECT group_id, count(*) AS n, count(*) FILTER (success) AS n_success, count(*) FILTER (status = 'accepted') AS anchors,
+        max(CASE WHEN ok AND ko = 1 THEN candidate_index END) AS oi, max(CASE WHEN ok AND ko = 1 THEN reward END) AS os, max(CASE WHEN ok AND ko = 1 THEN edit END) AS oe, max(CASE WHEN ok AND ko = 1 THEN validity END) AS ov,
+        max(CASE WHEN near AND kn = 1 THEN candidate_index END) AS ni, max(CASE WHEN near AND kn = 1 THEN raw_reward END) AS ns, max(CASE WHEN near AND kn = 1 THEN edit END) AS ne, max(CASE WHEN near AND kn = 1 THEN validity END) AS nv FROM o GROUP BY 1),
+    w AS (SELECT *, ni IS NOT NULL AND anchors >= 1 AND (oi IS NULL OR ns >= os + 5e-2) AS wins, CAST(n_success AS DOUBLE) / n AS rate FROM g),
+    c AS (SELECT *, CASE WHEN wins THEN 'verified_rejected' WHEN oi IS NOT NULL THEN 'accepted' END AS kind, CASE WHEN wins THEN ni ELSE oi END AS ci, CASE WHEN wins THEN ne ELSE oe END AS ce, CASE WHEN wins THEN nv ELSE ov END AS cv FROM w)
+    SELECT group_id, kind, ci AS chosen_index,
+      CASE WHEN n < 2 THEN 'too_few_images' WHEN rate < 1e-1 THEN 'productive_group_pass_rate_too_low' WHEN rate > 9e-1 THEN 'productive_group_pass_rate_too_high' WHEN kind IS NULL AND ni IS NOT NULL THEN 'verified_rejected_no_anchor'
+           WHEN kind IS NULL THEN 'no_accepted_chosen' WHEN n_success < 1 THEN 'success_consistency_count' WHEN ce < 45e-2 THEN 'generalization_edit_below_floor' WHEN cv < 55e-2 THEN 'generalization_validity_below_floor' ELSE 'passed' END AS reason,
+      {r6("5e-1 + (1e0 - 5e-1) * pow(least(1e0, n_success / 2e0), 1e0)")} AS multiplier FROM c
+""")
+def preference_group_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftloom.operators import gates
+
+    near = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("cepr_validity", "cepr_taxonomy"), {"edit": 0.3}, 0.4).isNull()
+    success = gates.strict_success(F.col("judge_supported"), [(F.col("judge_score"), 0.55)], F.col("status"))
+    out = pairs.group_stages(a.judged(spark, sf_dir), P, ST, near, success)
+    return out.select("group_id", "kind", "chosen_index", "reason", s.round6(F.col("multiplier")).alias("multiplier"))
+
+
+LN = "ln(greatest(least(greatest({0}, 0e0), 1e0), 1e-6))"
+
+
+@query(f"""
+    WITH {a.CANDIDATES} SELECT group_id, candidate_index, {r6("exp((" + " + ".join(LN.format(x) for x in ("raw_reward", "greatest(edit, specificity)", "preservation", "validity", "taxonomy")) + " + CASE WHEN judge_supported AND judge_score < 35e-2 THEN " + LN.format("judge_score") + " ELSE 0e0 END) / (5 + (judge_supported AND judge_score < 35e-2)::INT))", 5)} AS score FROM judged
+""")
+def conservative_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    counts = c("judge_supported") & (c("judge_score") < 0.35)
+    score = pairs.conservative_score(c("raw_reward"), [c("edit"), c("specificity")], [c("preservation")], [c("validity")], c("taxonomy"), [c("judge_score")], counts)
+    return a.judged(spark, sf_dir).select("group_id", "candidate_index", s.round6(score, 5).alias("score"))
