@@ -31,36 +31,42 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftloom.llm.common import cut
+from siftloom.llm.common import cut, sized
+from siftloom.operators.ordinal import numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BLOCK = 2000
-SOURCES_AT_ONCE = 100_000
 EPS = 1e-9
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float = MAX_COPIES) -> list[float]:
-    """Targets of sources in order; the weights repeat."""
-    total, w = float(sum(sizes)), [weights[i % len(weights)] for i in range(len(sizes))]
-    out: list[float] = [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), total
-    while free:
-        share = sum(w[i] for i in free)
-        over = {i for i in free if left * w[i] / share > cap * sizes[i]}
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / share
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        left -= sum(out[i] for i in over)
-        free -= over
-    return out
+def targets(per: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = MAX_COPIES) -> DataFrame:
+    """source_no, source, source_size, source_rows and target from (source, words, n), one row a source.
+
+    Sources are numbered in the order of their code points, null last; the weights repeat.
+    Each round caps the sources whose share is above ``cap`` times their size and shares
+    the rest again; only sums come to the driver.
+    """
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_no") - 1, F.lit(len(weights))) + 1).cast("int"))
+    plan = numbered(per, [F.col("source").asc_nulls_last()], "source_no").withColumn("w", w)
+    plan = cut(plan.select("source_no", "source", F.col("words").alias("source_size"), F.col("n").alias("source_rows"), "w", F.lit(None).cast("double").alias("target")))
+    total = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        free = F.col("target").isNull()
+        share, held = plan.agg(F.sum(F.when(free, F.col("w"))), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+        if share is None:
+            return plan.drop("w")
+        own = F.lit(float(total) - held) * F.col("w") / F.lit(share)
+        most = F.col("source_size") * float(cap)
+        if plan.filter(free & (own > most)).isEmpty():
+            plan = plan.withColumn("target", F.when(free, own).otherwise(F.col("target")))
+        else:
+            plan = plan.withColumn("target", F.when(free & (own > most), most).otherwise(F.col("target")))
+        plan = cut(plan)
 
 
 def uniform(key: str) -> float:
@@ -137,7 +143,7 @@ def landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 STATE = T.StructType(
-    [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("tie", T.LongType()), ("size", T.LongType()), ("source_no", T.IntegerType()), ("base", T.IntegerType()), ("p", T.DoubleType()))]
+    [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("tie", T.LongType()), ("size", T.LongType()), ("source_no", T.LongType()), ("base", T.IntegerType()), ("p", T.DoubleType()))]
 )
 
 
@@ -148,7 +154,7 @@ def fly(rows: DataFrame, level: int, seed: str) -> DataFrame:
         held: list[tuple] = []
         at, lands = None, False
         names = [f.name for f in STATE]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
 
         def done() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[2], r[1], r[0] is None, r[0] or 0))  # documents of like size meet
@@ -178,23 +184,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_CO
     """doc_id, size, source_size, target, taken, copies for every document."""
     if block < 8:
         raise ValueError("a block holds eight documents at least")
-    spark = docs.sparkSession
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = cut(docs.select("doc_id", words.alias("size"), "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("tie")))
-    per = source_plan(spark, sized, weights, cap)
-    plan = spark.createDataFrame([(i, s, size, t, n) for i, (s, size, n, t) in enumerate(per)], "source_no int, source string, source_size long, target double, source_rows long")
+    measured = cut(docs.select("doc_id", words.alias("size"), "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("tie")))
+    plan = targets(measured.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select("doc_id", "tie", "size", "source_no", "source_rows", ratio.alias("f"))
+    rows = measured.join(sized(plan), measured["source"].eqNullSafe(plan["source"])).select("doc_id", "tie", "size", "source_no", "source_rows", ratio.alias("f"))
     rows = rows.withColumn("base", F.least(F.floor(F.col("f") + EPS), F.lit(cap)).cast("int")).withColumn("p", F.greatest(F.col("f") - F.col("base"), F.lit(0.0)))
     rows = rows.withColumn("p", F.when((F.col("p") < EPS) | (F.col("size") == 0), 0.0).otherwise(F.col("p")))
     state = [f.name for f in STATE]
     settled = [rows.filter("p = 0").select(*state)]
-    facts = plan.select("source_no", "source_size", "target", "source_rows")
+    facts = sized(plan.select("source_no", "source_size", "target", "source_rows"))
     open_ = rows.filter("p > 0").select(*state)
-    level, most, left = 0, max((n for _, _, n, _ in per), default=0), F.col("source_rows")
+    level, most, left = 0, plan.agg(F.coalesce(F.max("source_rows"), F.lit(0))).first()[0], F.col("source_rows")
     while most:
         blocks = F.ceil(left / block).cast("long")
-        placed = open_.join(F.broadcast(facts.select("source_no", "source_rows")), "source_no")
+        placed = open_.join(facts, "source_no")
         placed = placed.select(*state, F.pmod(F.xxhash64("tie", F.lit(level)), blocks).alias("block"), (blocks <= 1).alias("lands"))
         flown = cut(fly(placed, level, seed))
         settled.append(flown.filter("p = 0 or p = 1"))
@@ -205,16 +209,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_CO
     for part in settled[1:]:
         done = done.unionByName(part)
     copies = (F.col("base") + F.col("p").cast("int")).cast("long")
-    return done.join(F.broadcast(facts.drop("source_rows")), "source_no").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-
-
-def source_plan(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...], cap: int) -> list[tuple]:
-    """(source, words, documents, target) of each source in code point order, null last.
-
-    One row a source comes to the driver; more than SOURCES_AT_ONCE sources are refused.
-    """
-    per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(SOURCES_AT_ONCE + 1).collect()
-    if len(per) > SOURCES_AT_ONCE:
-        raise ValueError(f"more than {SOURCES_AT_ONCE} sources")
-    per = sorted(((r["source"], r["words"], r["n"]) for r in per), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
-    return [(*r, t) for r, t in zip(per, targets([r[1] for r in per], weights, cap), strict=True)]
+    return done.join(facts, "source_no").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

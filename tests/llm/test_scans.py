@@ -216,12 +216,27 @@ def test_typed_parts(spark):
     assert out[0]["formatted"][out[0]["loss_start"] : out[0]["loss_end"]] == "hi<|image:0|>"
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
-    got = mixing.targets([10, 1000, 5])
-    assert got[0] == 30 and got[2] == 15 and got[1] == pytest.approx(970)
-    assert sum(mixing.targets([7, 0, 9, 100, 3])) == pytest.approx(119)
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+def targets_by_hand(sizes, weights=(5.0, 2.0, 1.0), cap=3):
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    w = [weights[i % 3] for i in range(len(sizes))]
+    while free:
+        share = sum(w[i] for i in free)
+        over = {i for i in free if left * w[i] / share > cap * sizes[i]}
+        for i in over or free:
+            out[i] = cap * sizes[i] if over else left * w[i] / share
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 5], [7, 0, 9, 100, 3], [1] * 40 + [5000], [0, 0], []])
+def test_targets(spark, sizes):
+    names = [f"s{i:03d}" for i in range(len(sizes) - 1)] + [None] * bool(sizes)
+    per = spark.createDataFrame(list(zip(names, sizes, [1] * len(sizes), strict=True)), "source string, words long, n long").repartition(3)
+    got = {r["source"]: r["target"] for r in mixing.targets(per).collect()}
+    assert got == pytest.approx(dict(zip(names, targets_by_hand(sizes), strict=True)))
 
 
 def test_flight_keeps_totals():
@@ -246,7 +261,7 @@ def test_mix(spark, block):
     assert sorted(tuple(x) for x in got) == sorted(tuple(x) for x in mixing.mix(df.repartition(5), block=block).collect())
     names = sorted({source(i) for i, _ in rows}, key=lambda s: (s is None, s or ""))
     size = {s: sum(len((t or "").split()) for i, t in rows if source(i) == s) for s in names}
-    want = dict(zip(names, mixing.targets([size[s] for s in names]), strict=True))
+    want = dict(zip(names, targets_by_hand([size[s] for s in names]), strict=True))
     for s in names:
         mine = [x for x in got if source(x["doc_id"]) == s]
         assert all(x["source_size"] == size[s] and x["target"] == pytest.approx(want[s]) and x["taken"] <= 3 * x["size"] and x["taken"] == x["copies"] * x["size"] for x in mine)
