@@ -132,7 +132,7 @@ def structured_edit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def proposal_contract_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edits.normalized(instructions(spark, sf_dir), "instruction", "family")
-    return out.withColumn("reason", F.coalesce(edits.contract_reason(), F.lit("eligible"))).groupBy("edit_type", "reason").agg(F.count("*").alias("n"))
+    return out.withColumn("reason", F.coalesce(edits.contract_reason(out.columns), F.lit("eligible"))).groupBy("edit_type", "reason").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -166,3 +166,26 @@ def test_numbers_over_a_total_order(spark):
     df = spark.range(0, 500, numPartitions=7).select((F.col("id") * 7919 % 500).alias("x"))
     assert [(r["x"], r["ordinal"]) for r in numbered(df, [F.desc("x")]).orderBy("ordinal").collect()] == [(499 - k, k + 1) for k in range(500)]
     assert numbered(df.limit(0), [F.asc("x")]).count() == 0
+
+
+def test_eligibility_reasons(spark):
+    base = {"edit_type": "object_addition", "instruction": "Add a dog near the tree", "source_object": None, "target_object": "dog", "target_region": "near the tree", "required_after": ["dog is there"], "forbidden_after": ["dog is absent near the tree"], "preserve": ["x"], "source_attribute": None, "target_attribute": None}
+    cases = [
+        (base, None),
+        (base | {"target_object": None}, "target_object_missing"),
+        (base | {"target_object": "dog beside"}, "target_object_contains_relation_tail"),
+        (base | {"target_region": "the scene"}, "target_region_generic"),
+        (base | {"target_region": "tree"}, "target_region_missing_anchor"),
+        (base | {"forbidden_after": ["no dog"]}, "negative_forbidden_sentence"),
+        (base | {"forbidden_after": ["cat is absent"]}, "addition_forbidden_missing_target_object"),
+        (base | {"edit_type": "object_replacement", "source_object": "Dog"}, "replacement_same_as_source"),
+        (base | {"edit_type": "object_replacement", "source_object": "old dog", "target_object": "dogs"}, "replacement_overlaps_source"),
+        (base | {"edit_type": "spatial_move", "source_object": "young woman"}, "spatial_target_fragile_or_main_subject"),
+        (base | {"edit_type": "material_change", "source_object": "cup", "instruction": "make the cup red"}, "material_source_state_missing"),
+        (base | {"edit_type": "color_change", "source_object": "cup", "source_attribute": "red", "target_attribute": "different"}, "color_target_state_vague"),
+        (base | {"source_object": "the 'stop' sign"}, "quoted_visible_text"),
+    ]
+    schema = "edit_type string, instruction string, source_object string, target_object string, target_region string, required_after array<string>, forbidden_after array<string>, preserve array<string>, source_attribute string, target_attribute string"
+    df = spark.createDataFrame([tuple(c.values()) for c, _ in cases], schema)
+    got = [r["r"] for r in df.select(edits.contract_reason(df.columns, explicit_states=True).alias("r")).collect()]
+    assert got == [want for _, want in cases]
