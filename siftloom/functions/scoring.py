@@ -163,7 +163,7 @@ def raw_reward(edit: Number | str, preservation: Number | str) -> Column:
     return F.sqrt(F.greatest(col(edit) * col(preservation), F.lit(0.0)))
 
 
-def rubric_reward(source: Column, edit_success: Column, preservation: Column, validity: Column) -> Column:
+def checked_reward(source: Column, edit_success: Column, preservation: Column, validity: Column) -> Column:
     return source * geometric_mean([edit_success, preservation, validity])
 
 

@@ -200,7 +200,7 @@ def detector_phrase(x: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(cut, r"^(?:(?:small|large|big|tiny|old|young|red|blue|green|black|white)\s+)+(?=\S)", "")), F.lit(""))
 
 
-def rubric_prompts(required: Column, forbidden: Column, scope: Column, most: int = 3) -> Column:
+def check_prompts(required: Column, forbidden: Column, scope: Column, most: int = 3) -> Column:
     """The first texts to score, each in its scope, without case-insensitive repeats."""
     both = F.concat(F.coalesce(required, F.array().cast("array<string>")), F.coalesce(forbidden, F.array().cast("array<string>")))
     scoped = F.transform(both, lambda t: F.when(F.contains(F.lower(t), F.lower(scope)), t).otherwise(F.concat(t, F.lit(" in "), scope)))

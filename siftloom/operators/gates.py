@@ -130,12 +130,12 @@ def admit(df: DataFrame, a: Admission) -> DataFrame:
         rungs.append(("rejected_disabled", F.lit(True)))
     rungs.append((F.concat(F.lit("status_"), c("status")), c("status") != "rejected"))
     rungs += [(f"{n}_below_threshold", F.coalesce(c(names.get(n, n)) < floor, F.lit(True))) for n, floor in a.minima.items()]
-    reason = F.coalesce(ladder(rungs), F.lit("cepr_weighted_rejected"))
+    reason = F.coalesce(ladder(rungs), F.lit("weighted_rejected"))
     full = c("total") * a.accepted_scale
     weight = (
         F.when(c("reason") == "accepted", full)
         .when(c("reason") == "feasible_ranked_positive", full * a.ranked_positive_scale)
-        .when(c("reason") == "cepr_weighted_rejected", s.rejected_weight(c("raw_reward"), *a.rejected_span, *a.rejected_weights, a.rejected_power))
+        .when(c("reason") == "weighted_rejected", s.rejected_weight(c("raw_reward"), *a.rejected_span, *a.rejected_weights, a.rejected_power))
         .otherwise(0.0)
     )
     return df.withColumn("reason", reason).withColumn("weight", weight)

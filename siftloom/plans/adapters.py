@@ -66,9 +66,9 @@ CANDIDATES = """
       SELECT *, sqrt(greatest(specificity * taxonomy, 0e0)) AS edit,
              sqrt(greatest(sqrt(greatest(specificity * taxonomy, 0e0)) * preservation, 0e0)) AS raw_reward FROM candidates),
     gated AS (
-      SELECT *, CASE WHEN NOT specificity >= 4e-1 THEN 'cepr_edit_specificity' WHEN NOT taxonomy >= 35e-2 THEN 'cepr_taxonomy'
-                     WHEN NOT preservation >= 2e-1 THEN 'cepr_preservation' WHEN NOT validity >= 5e-1 THEN 'cepr_validity'
-                     WHEN NOT raw_reward >= 3e-1 THEN 'cepr_reward' END AS reject_reason FROM scored),
+      SELECT *, CASE WHEN NOT specificity >= 4e-1 THEN 'edit_specificity' WHEN NOT taxonomy >= 35e-2 THEN 'taxonomy'
+                     WHEN NOT preservation >= 2e-1 THEN 'preservation' WHEN NOT validity >= 5e-1 THEN 'validity'
+                     WHEN NOT raw_reward >= 3e-1 THEN 'reward' END AS reject_reason FROM scored),
     rated AS (SELECT *, reject_reason IS NULL AS feasible, CASE WHEN reject_reason IS NULL THEN raw_reward ELSE 0e0 END AS reward FROM gated),
     ranked AS (
       SELECT *, CASE WHEN feasible THEN CAST(row_number() OVER (PARTITION BY group_id ORDER BY feasible DESC, reward DESC, candidate_index) AS BIGINT) ELSE 0 END AS rnk
@@ -78,15 +78,15 @@ CANDIDATES = """
 """
 
 
-def cepr_gates() -> Gates:
+def candidate_gates() -> Gates:
     c = F.col
     t = THRESHOLDS
     return Gates(
-        ("cepr_edit_specificity", c("specificity") >= t["edit"]),
-        ("cepr_taxonomy", c("taxonomy") >= t["taxonomy"]),
-        ("cepr_preservation", c("preservation") >= t["preservation"]),
-        ("cepr_validity", c("validity") >= t["validity"]),
-        ("cepr_reward", c("raw_reward") >= t["reward"]),
+        ("edit_specificity", c("specificity") >= t["edit"]),
+        ("taxonomy", c("taxonomy") >= t["taxonomy"]),
+        ("preservation", c("preservation") >= t["preservation"]),
+        ("validity", c("validity") >= t["validity"]),
+        ("reward", c("raw_reward") >= t["reward"]),
     )
 
 
@@ -94,7 +94,7 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with edit score, raw reward, gates and gated reward."""
     scored = candidates(spark, sf_dir).withColumn("edit", s.edit_score("specificity", "taxonomy"))
     scored = scored.withColumn("raw_reward", s.raw_reward("edit", "preservation"))
-    gates = cepr_gates()
+    gates = candidate_gates()
     gated = scored.withColumn("reject_reason", gates.reason()).withColumn("feasible", gates.feasible())
     return gated.withColumn("reward", F.when(F.col("feasible"), F.col("raw_reward")).otherwise(0.0))
 

@@ -31,9 +31,9 @@ TRAIN = """
             WHEN status <> 'rejected' THEN 'status_' || status
             WHEN validity < 5e-1 THEN 'validity_below_threshold' WHEN preservation < 2e-1 THEN 'preservation_below_threshold'
             WHEN edit < 2e-1 THEN 'semantic_below_threshold' WHEN taxonomy < 0e0 THEN 'taxonomy_below_threshold' WHEN raw_reward < 15e-2 THEN 'reward_below_threshold'
-            ELSE 'cepr_weighted_rejected' END AS reason FROM t),
+            ELSE 'weighted_rejected' END AS reason FROM t),
     w AS (SELECT *, CASE reason WHEN 'accepted' THEN total WHEN 'feasible_ranked_positive' THEN total * 75e-2
-            WHEN 'cepr_weighted_rejected' THEN 5e-2 + (35e-2 - 5e-2) * least(greatest((raw_reward - 15e-2) / greatest(6e-1 - 15e-2, 1e-6), 0e0), 1e0) ELSE 0e0 END AS weight FROM l)
+            WHEN 'weighted_rejected' THEN 5e-2 + (35e-2 - 5e-2) * least(greatest((raw_reward - 15e-2) / greatest(6e-1 - 15e-2, 1e-6), 0e0), 1e0) ELSE 0e0 END AS weight FROM l)
 """
 
 

@@ -16,13 +16,13 @@ from siftloom.plans.registry import query, r6
 
 @query(f"""
     WITH {a.CANDIDATES}, n AS (SELECT *, CASE WHEN status <> 'rejected' THEN 'near_miss_status' WHEN edit_type NOT IN ('object_removal', 'object_replacement', 'color_change') THEN 'near_miss_edit_type'
-        WHEN NOT coalesce(reject_reason IN ('cepr_validity', 'cepr_taxonomy'), false) THEN 'near_miss_reject_reason' WHEN NOT judge_supported THEN 'near_miss_judge_unsupported' WHEN judge_score < 4e-1 THEN 'near_miss_judge_confidence'
+        WHEN NOT coalesce(reject_reason IN ('validity', 'taxonomy'), false) THEN 'near_miss_reject_reason' WHEN NOT judge_supported THEN 'near_miss_judge_unsupported' WHEN judge_score < 4e-1 THEN 'near_miss_judge_confidence'
         WHEN edit < 3e-1 THEN 'near_miss_edit_below_floor' WHEN preservation < 6e-1 THEN 'near_miss_preservation_below_floor' END AS reason FROM judged),
     w AS (SELECT *, count(*) FILTER (accepted) OVER (PARTITION BY group_id) AS anchors FROM n)
     SELECT coalesce(reason, CASE WHEN anchors < 1 THEN 'near_miss_no_anchor' ELSE 'near_miss' END) AS reason, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1
 """)
 def near_miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("cepr_validity", "cepr_taxonomy"), {"edit": 0.3, "preservation": 0.6}, 0.4)
+    reason = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("validity", "taxonomy"), {"edit": 0.3, "preservation": 0.6}, 0.4)
     anchors = F.count_if("accepted").over(Window.partitionBy("group_id"))
     rows = a.judged(spark, sf_dir).withColumn("reason", reason).withColumn("anchors", anchors)
     return rows.groupBy(F.coalesce("reason", F.when(F.col("anchors") < 1, "near_miss_no_anchor").otherwise("near_miss")).alias("reason")).agg(F.count("*").alias("n"))
@@ -167,9 +167,9 @@ def caption_object_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def rubric_prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def check_prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftloom.operators import edits
     from siftloom.plans.text_rules import instructions
 
     e = edits.normalized(instructions(spark, sf_dir), "instruction", "family")
-    return e.select("id", t.rubric_prompts(F.col("required_after"), F.col("forbidden_after"), F.col("target_region")).alias("prompts"))
+    return e.select("id", t.check_prompts(F.col("required_after"), F.col("forbidden_after"), F.col("target_region")).alias("prompts"))

@@ -118,7 +118,7 @@ def source_noop_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ST = pairs.Stages()
-NEAR = "status = 'rejected' AND edit_type IN ('object_removal', 'object_replacement', 'color_change') AND coalesce(reject_reason IN ('cepr_validity', 'cepr_taxonomy'), false) AND judge_supported AND judge_score >= 4e-1 AND edit >= 3e-1"
+NEAR = "status = 'rejected' AND edit_type IN ('object_removal', 'object_replacement', 'color_change') AND coalesce(reject_reason IN ('validity', 'taxonomy'), false) AND judge_supported AND judge_score >= 4e-1 AND edit >= 3e-1"
 SUCCESS = "CASE WHEN judge_supported THEN judge_score >= 55e-2 ELSE status = 'accepted' END"
 
 
@@ -138,7 +138,7 @@ SUCCESS = "CASE WHEN judge_supported THEN judge_score >= 55e-2 ELSE status = 'ac
 def preference_group_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftloom.operators import gates
 
-    near = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("cepr_validity", "cepr_taxonomy"), {"edit": 0.3}, 0.4).isNull()
+    near = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("validity", "taxonomy"), {"edit": 0.3}, 0.4).isNull()
     success = gates.strict_success(F.col("judge_supported"), [(F.col("judge_score"), 0.55)], F.col("status"))
     out = pairs.group_stages(a.judged(spark, sf_dir), P, ST, near, success)
     return out.select("group_id", "kind", "chosen_index", "reason", s.round6(F.col("multiplier")).alias("multiplier"))

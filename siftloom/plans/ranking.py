@@ -30,13 +30,13 @@ def gate_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {a.CANDIDATES}, v AS (
       SELECT group_id, candidate_index, unnest([
-        {{'name': 'cepr_edit_specificity', 'passed': specificity >= 4e-1}}, {{'name': 'cepr_taxonomy', 'passed': taxonomy >= 35e-2}},
-        {{'name': 'cepr_preservation', 'passed': preservation >= 2e-1}}, {{'name': 'cepr_validity', 'passed': validity >= 5e-1}},
-        {{'name': 'cepr_reward', 'passed': raw_reward >= 3e-1}}]) AS g FROM scored)
+        {{'name': 'edit_specificity', 'passed': specificity >= 4e-1}}, {{'name': 'taxonomy', 'passed': taxonomy >= 35e-2}},
+        {{'name': 'preservation', 'passed': preservation >= 2e-1}}, {{'name': 'validity', 'passed': validity >= 5e-1}},
+        {{'name': 'reward', 'passed': raw_reward >= 3e-1}}]) AS g FROM scored)
     SELECT g.name AS gate, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (g.passed) AS BIGINT) AS n_passed FROM v GROUP BY 1
 """)
 def gate_vector_pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = a.rated(spark, sf_dir).select(F.explode(a.cepr_gates().vector()).alias("g"))
+    long = a.rated(spark, sf_dir).select(F.explode(a.candidate_gates().vector()).alias("g"))
     return long.groupBy(F.col("g.name").alias("gate")).agg(F.count("*").alias("n"), F.count_if("g.passed").alias("n_passed"))
 
 
