@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.operators.ordinal import held
+
 
 def group(*order: Column) -> Window:
     w = Window.partitionBy("group_id")
@@ -58,8 +60,11 @@ def best_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def family_balance(df: DataFrame, key: str, order: list[Column], most: int | None = None, fraction: float | None = None) -> DataFrame:
     """Adds kept: the first rows of each key, at most ``most`` and at most a fraction of all rows.
 
-    The count of all rows comes from an aggregate of one row, not from a window over everything.
+    The count of all rows comes from an aggregate of one row, not from a window over
+    everything; for it the rows are held in a checkpoint.
     """
+    if fraction is not None:
+        df = held(df)
     ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     limit = F.lit(most).cast("long") if most is not None else F.lit(None).cast("long")
     if fraction is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import scoring as s
-from siftloom.operators.ordinal import numbered
+from siftloom.operators.ordinal import held, numbered
 
 
 def with_replay(rows: DataFrame, ratio: float, weight: float, order: list[Column], image: str = "edited_image") -> DataFrame:
@@ -25,8 +25,10 @@ def with_replay(rows: DataFrame, ratio: float, weight: float, order: list[Column
 def mean_one(rows: DataFrame, weight: str = "weight") -> DataFrame:
     """Adds sample_weight = weight / mean(weight); raises where a weight is negative, not finite, or all are 0.
 
-    The mean comes from an aggregate of one row that is joined to all.
+    The mean comes from an aggregate of one row that is joined to all; the rows are held in
+    a checkpoint, so the plan that made them runs once.
     """
+    rows = held(rows)
     w = F.col(weight)
     bad = w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")) | (w < 0)
     mean = rows.agg(F.avg(w).alias("_mean"), F.count_if(bad).alias("_bad"))
