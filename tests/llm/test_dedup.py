@@ -122,6 +122,34 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def whole_runs_by_hand(rows, least):
+    """Lines to delete by the definition: every run of any length with ``least`` words that occurs before."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                if sum(max(1, len(x.split())) for x in lines[s:e]) >= least:
+                    if tuple(lines[s:e]) in seen:
+                        gone |= set(range(s, e))
+                    seen.add(tuple(lines[s:e]))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    return out
+
+
+def test_whole_runs(spark):
+    """The end of a repeated run goes as well, whatever the lengths of its lines."""
+    r = random.Random(6)
+    a, b, c, d = paragraph("a", 25), paragraph("b", 25), paragraph("c", 3), paragraph("d", 100)
+    rows = [(0, "\n".join([a, b, c, "x"])), (1, "\n".join(["y", a, b, c])), (2, "\n".join([d, c, "q"])), (3, "\n".join([d, c, "r"]))]
+    lines = [paragraph(k, r.choice([2, 5, 20, 30, 60])) for k in range(12)]
+    rows += [(10 + i, "\n".join(lines[(k + j) % 12] if r.random() < 0.95 else f"own {i} {j}" for j in range(r.randrange(2, 9)))) for i in range(50) for k in [r.randrange(12)]]
+    rows += [(100, "\n".join([paragraph("loop", 20)] * 30)), (101, "\n" * 120)]
+    got = {g["doc_id"]: (g["text"], g["n_deleted"]) for g in line_dedup.without_repeats(docs_of(spark, rows), whole=True).collect()}
+    assert got == whole_runs_by_hand(rows, 50)
+    assert got[1] == ("y", 3) and got[3] == ("r", 2)
+
+
 def test_same_id_different_text(spark):
     rows = [(1, paragraph("a", 80)), (1, paragraph("b", 80)), (2, paragraph("a", 80))]
     got = line_dedup.without_repeats(docs_of(spark, rows)).collect()
