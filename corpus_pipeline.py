@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from siftloom.llm import decontaminate, exact_dedup, mixing, near_copies, quality
 from siftloom.llm.common import shared_dir, table
 from siftloom.session import ship
 
@@ -28,9 +28,9 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies, by five-word shingles at 0.8, the document with the smallest id stays."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

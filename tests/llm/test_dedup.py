@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftloom.llm import components, exact_dedup, line_dedup, simhash
+from siftloom.llm import near_copies as jaccard
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside.
@@ -265,6 +266,65 @@ def test_simhash_keep_one(spark):
     assert simhash.near_groups(df.limit(0)).count() == 0
 
 
+def jaccard_groups_by_hand(rows):
+    """Sorted (id, smallest id of its group): all pairs by sets of five-word shingles."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    held = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(held):
+        for j, b in enumerate(held[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return sorted(((i, low.get(find(k))) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def jaccard_copies():
+    """Copies with up to eight words changed, of a base that is not there; chains; a very common line."""
+    r, rows = random.Random(12), [(0, None), (1, ""), (2, " \n"), (3, "one"), (4, "ONE"), (5, "one two"), (6, "a b c d e"), (7, "a  b c d e")]
+    for g, (n, copies) in enumerate([(150, 120), (60, 80), (30, 40)]):
+        base = prose(50 + g, n, 5000).split()
+        for i in range(copies):
+            words = list(base)
+            for k in range(r.randrange(9)):
+                words[r.randrange(len(words))] = f"new{g}x{i}x{k}"
+            rows.append((100 + 1000 * g + i, " ".join(words)))
+    chain = prose(70, 400, 5000).split()
+    rows += [(5000 + k, " ".join(chain[6 * k : 6 * k + 90])) for k in range(40)]
+    line = prose(80, 30, 5000)
+    rows += [(6000 + k, line + " " + prose(900 + k, 12 + k % 7, 5000)) for k in range(80)]
+    return rows + [(None, "nobody's text at all"), (None, rows[40][1]), rows[30]]
+
+
+def test_near_copies_by_hand(spark, monkeypatch):
+    rows = jaccard_copies()
+    want = jaccard_groups_by_hand(rows)
+    assert len({i for i, low in want if i != low}) > 100
+    assert sorted((tuple(r) for r in jaccard.near_groups(docs_of(spark, rows)).collect()), key=repr) == want
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 0)  # another order, the same groups
+    assert sorted((tuple(r) for r in jaccard.near_groups(docs_of(spark, rows)).collect()), key=repr) == want
+    assert jaccard.near_groups(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_near_copies(spark, sf):
+    """The stage leaves one text of each group at 0.8, by all pairs."""
+    import corpus_pipeline
+
+    rows = [r for r in jaccard_copies() if r[0] is not None]
+    docs = docs_of(spark, dict(rows).items(), clash=False)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_filter(spark, docs, sf).collect())
+    assert got == sorted(i for i, low in jaccard_groups_by_hand(list(dict(rows).items())) if i == low)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
