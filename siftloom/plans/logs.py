@@ -70,10 +70,10 @@ def stream_upsert_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2
 """)
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour in a stream with a watermark; an addition of this library."""
+    """Events by hour in a stream; a replay of a whole table, so without a watermark. An addition of this library."""
     from siftloom.streaming.upsert import windowed_counts
 
-    out = windowed_counts(spark, f"{sf_dir}/events.parquet", "ts", "1 hour", "10 minutes", ["event_type"])
+    out = windowed_counts(spark, f"{sf_dir}/events.parquet", "ts", "1 hour", None, ["event_type"])
     return out.select(F.floor(F.unix_timestamp("window_start") / 3600).cast("long").alias("hour"), "event_type", "n")
 
 

@@ -62,10 +62,11 @@ def latest_states(spark: SparkSession, path: str, to_log: Callable[[DataFrame],
     return last_wins(to_log(spark.read.parquet(path).limit(0)))
 
 
-def windowed_counts(spark: SparkSession, path: str, ts: str, size: str, late: str, keys: list[str]) -> DataFrame:
-    """Rows by tumbling window and keys; rows later than ``late`` behind the watermark are dropped."""
+def windowed_counts(spark: SparkSession, path: str, ts: str, size: str, late: str | None, keys: list[str]) -> DataFrame:
+    """Rows by tumbling window and keys; rows later than ``late`` behind the watermark are dropped, none without it."""
     folder = shared_folder(spark)
-    counts = file_stream(spark, path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"))
+    rows = file_stream(spark, path).withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = (rows.withWatermark(ts, late) if late else rows).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"))
     flat = counts.select(F.col("window.start").alias("window_start"), *keys, "n")
 
     def keep(batch: DataFrame, version: int) -> None:
