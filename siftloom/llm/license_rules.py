@@ -92,7 +92,7 @@ isc;permission to use, copy, modify;notice;permission to use, copy, modify,? and
 isc;isc;tag;SPDX-License-Identifier:?\s*ISC\b
 isc;isc;name;\bISC licen[cs]e\b
 isc;opensource.org/licenses/isc;link;https?://(?:www\.)?opensource\.org/licenses/ISC
-mpl-2.0;mozilla public license;notice;this source code form is subject to the terms of the mozilla public\s+license,? v\. 2\.0
+mpl-2.0;mozilla public;notice;this source code form is subject to the terms of the mozilla public\s+license,? v\. 2\.0
 mpl-2.0;mpl;tag;SPDX-License-Identifier:?\s*MPL-2\.0\b
 mpl-1.1;mpl;tag;SPDX-License-Identifier:?\s*MPL-1\.1\b
 mpl-2.0;mozilla public license;name;\bMozilla Public License,?\s*(?:v(?:ersion)?\.?\s*)?2(?:\.0)?\b
@@ -184,16 +184,17 @@ artistic-2.0;artistic;name;\bArtistic License,?\s*(?:v(?:ersion)?\.?\s*)?2(?:\.0
 artistic;artistic;name;\b(?:Perl )?Artistic License\b
 perl;perl itself;notice;under the same terms as perl itself
 python-2.0;python software foundation license;name;\bPython Software Foundation License\b
-python-2.0;psf;tag;SPDX-License-Identifier:?\s*(?:Python-2\.0|PSF-2\.0)\b
+python-2.0;python-2.0;tag;SPDX-License-Identifier:?\s*Python-2\.0\b
+python-2.0;psf-2.0;tag;SPDX-License-Identifier:?\s*PSF-2\.0\b
 python-2.0;psf;name;\bPSF licen[cs]e\b
 php-3.01;php license;name;\bPHP License,?\s*(?:v(?:ersion)?\.?\s*)?3\.01
 php-3.01;php.net/license;link;https?://(?:www\.)?php\.net/license/3_01
-ruby;ruby license;name;\bRuby licen[cs]e\b
-ruby;ruby's license;name;\bunder Ruby's licen[cs]e\b
+ruby;ruby licen;name;\bRuby licen[cs]e\b
+ruby;ruby's licen;name;\bunder Ruby's licen[cs]e\b
 postgresql;postgresql;name;\bPostgreSQL licen[cs]e\b
 postgresql;postgresql;tag;SPDX-License-Identifier:?\s*PostgreSQL\b
 openssl;openssl;name;\bOpenSSL licen[cs]e\b
-openssl;openssl toolkit;notice;this product includes software developed by the openssl project
+openssl;openssl project;notice;this product includes software developed by the openssl project
 ofl-1.1;open font license;notice;this font software is licensed under the sil open font license
 ofl-1.1;ofl-1.1;tag;SPDX-License-Identifier:?\s*OFL-1\.1\b
 ofl-1.1;open font license;name;\bSIL Open Font License\b
@@ -221,7 +222,8 @@ odc-by-1.0;open data commons;name;\bOpen Data Commons Attribution License\b
 cdla-permissive;cdla;tag;\bCDLA-Permissive-[12]\.0\b
 cdla-sharing;cdla;tag;\bCDLA-Sharing-1\.0\b
 ogl-uk-3.0;open government licen;name;\bOpen Government Licen[cs]e\b
-etalab-2.0;etalab;name;\b(?:licence ouverte|etalab)\b
+etalab-2.0;licence ouverte;name;\blicence ouverte\b
+etalab-2.0;etalab;name;\betalab\b
 nasa-1.3;nasa open source agreement;name;\bNASA Open Source Agreement\b
 apsl-2.0;apple public source license;name;\bApple Public Source License\b
 ipl-1.0;ibm public license;name;\bIBM Public License\b
@@ -231,7 +233,7 @@ npl-1.1;netscape public license;name;\bNetscape Public License\b
 qpl-1.0;q public license;name;\bQ Public License\b
 spl-1.0;sun public license;name;\bSun Public License\b
 sleepycat;sleepycat;name;\bSleepycat licen[cs]e\b
-vim;vim license;name;\bVim licen[cs]e\b
+vim;vim licen;name;\bVim licen[cs]e\b
 w3c;w3c software;name;\bW3C Software (?:Notice|and Document)\b
 zpl-2.1;zope public license;name;\bZope Public License\b
 ncgl;non-commercial government;name;\bNon-Commercial Government Licen[cs]e\b
@@ -239,19 +241,20 @@ unicode-dfs;unicode;name;\bUnicode(?:,? Inc\.?)? license agreement\b
 hpnd;historical permission notice;name;\bHistorical Permission Notice and Disclaimer\b
 beerware;beer-ware;name;\bTHE BEER-WARE LICENSE\b
 json;shall be used for good;notice;the software shall be used for good,? not evil
-curl;curl license;name;\bcurl licen[cs]e\b
-openrail;openrail;name;\b(?:CreativeML |BigScience |BigCode )?Open ?RAIL(?:-[MS+]+)?\b
+curl;curl licen;name;\bcurl licen[cs]e\b
+openrail;openrail;name;\b(?:CreativeML |BigScience |BigCode )?OpenRAIL(?:-[MS+]+)?\b
+openrail;open rail;name;\b(?:CreativeML |BigScience |BigCode )?Open RAIL(?:-[MS+]+)?\b
 llama;community license;name;\bLlama \d(?:\.\d)? Community License\b
 gemma;gemma terms;name;\bGemma Terms of Use\b
-fair;fair license;name;\bFair Licen[cs]e\b
+fair;fair licen;name;\bFair Licen[cs]e\b
 blueoak-1.0.0;blue oak model;name;\bBlue Oak Model License\b
 hippocratic;hippocratic license;name;\bHippocratic License\b
-anti-996;anti-996;name;\bAnti-?996 License\b
+anti-996;996 license;name;\bAnti-?996 License\b
 proprietary;all rights reserved;notice;\ball rights reserved\b
 proprietary;confidential;notice;\bproprietary and confidential\b
 proprietary;proprietary;name;\bproprietary licen[cs]e\b
 proprietary;unauthorized;notice;unauthorized (?:copying|use|distribution|reproduction)[^.]{0,80} is (?:strictly )?prohibited
-eula;end user licen;name;\bend[\s-]user licen[cs]e agreement\b
+eula;user licen;name;\bend[\s-]user licen[cs]e agreement\b
 eula;eula;hint;\bEULA\b
 commercial;commercial licen;name;\b(?:under a )?commercial licen[cs]e\b
 royalty-free;royalty;name;\broyalty[\s-]free licen[cs]e\b

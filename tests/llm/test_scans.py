@@ -65,6 +65,47 @@ def test_rules_hold_their_keyword():
         assert any(s in keyword for s in license_rules.STEMS)
 
 
+def spellings(items):
+    """Texts that the parsed regex matches: one for each of its branches, options and listed characters."""
+    out = [""]
+    for op, arg in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "IN":
+            signs = [" \n" if "SPACE" in str(v) else "1" if "DIGIT" in str(v) else "x" if str(k) in ("NEGATE", "CATEGORY") else chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+            more = ["x"] if str(arg[0][0]) == "NEGATE" else list("".join(signs))
+        elif kind == "BRANCH":
+            more = [t for branch in arg[1] for t in spellings(branch)]
+        elif kind == "SUBPATTERN":
+            more = spellings(arg[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * n for n in {arg[0], min(arg[0] + 1, arg[1])} for t in spellings(arg[2])]
+        else:
+            more = ["x"] if kind in ("ANY", "NOT_LITERAL") else [""]
+        out = list(dict.fromkeys(a + b for a in out for b in more))
+        if len(out) > 3000:
+            out = random.Random(1).sample(out, 3000)
+    return out
+
+
+def test_every_spelling_holds_the_keyword():
+    seen = 0
+    for _, label, keyword, kind, regex in license_rules.rules():
+        if kind != "base":
+            texts = [t for t in spellings(re._parser.parse(regex)) if re.search(regex, t)]
+            assert texts, regex
+            assert [t for t in texts if keyword not in t.lower()] == [], (label, keyword)
+            seen += len(texts)
+    assert seen > 1000
+
+
+def test_spellings_are_found(spark):
+    texts = {"end-user license agreement": "eula", "licence ouverte": "etalab-2.0", "SPDX-License-Identifier: Python-2.0": "python-2.0", "BigCode Open RAIL-M": "openrail", "Anti996 License": "anti-996", "Ruby licence": "ruby", "Vim licence": "vim", "curl licence": "curl", "Fair licence": "fair"}
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_summary(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert all(label in got[i].split(",") for i, label in enumerate(texts.values())), got
+
+
 def test_quality(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     sf1 = sf.replace("sf0.001", "sf0.01")
