@@ -3,7 +3,7 @@
 URLs whose host and path fit a hand-written rule carry its verdict; they are the labelled
 transactions. Spark's FP-growth mines the combinations of URL tokens (host labels, last
 label, path segments, query keys, scheme) that go with ``block``; rules below the support
-or the confidence, or with more than ``MOST_ITEMS`` tokens, are pruned. A URL without a
+or the confidence are pruned, and no others. A URL without a
 hand-written rule is blocked when a mined rule's tokens are all among its own.
 
 Matching uses an inverted index: each mined rule is filed under the rarest of its tokens;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siftloom.llm.common import ascii_lower, cut
 
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_ITEMS = 0.005, 0.9, 3
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
 BROADCAST_RULES = 20_000
 BLOCK_ITEM, ALLOW_ITEM = "verdict:block", "verdict:allow"
 
@@ -88,13 +88,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(scheme, last, *named)))
 
 
-def mined(labelled: DataFrame, min_support: float, min_confidence: float, most_items: int) -> DataFrame | None:
+def mined(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame | None:
     """Rules (antecedent, confidence, support) for block, from rows with ``items`` and ``verdict``."""
     if labelled.isEmpty():
         return None
     with_label = labelled.select(F.concat("items", F.array(F.when(F.col("verdict") == "block", BLOCK_ITEM).otherwise(ALLOW_ITEM))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(with_label)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCK_ITEM))) & (F.size("antecedent") <= most_items))
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK_ITEM)))
     rules = rules.filter(~F.array_contains("antecedent", ALLOW_ITEM))
     one = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     kept = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
@@ -102,7 +102,7 @@ def mined(labelled: DataFrame, min_support: float, min_confidence: float, most_i
     return cut(kept.join(rarest, "antecedent"))
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_items: int = MOST_ITEMS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule, confidence for every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = split_url(F.col("url"))
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], min_support: float = MIN_SUPPO
     rows = rows.withColumn("rule", name).withColumn("given", verdict)
     bag = tokens(F.col("url"), F.col("host"), F.col("path"))
     labelled = rows.filter(F.col("given").isNotNull()).select(bag.alias("items"), F.col("given").alias("verdict"))
-    found = mined(labelled, min_support, min_confidence, most_items)
+    found = mined(labelled, min_support, min_confidence)
     if found is None:
         hit = rows.select(F.col("url").alias("judged"), F.lit(None).cast("struct<confidence:double,support:double,antecedent:array<string>>").alias("best")).limit(0)
     else:

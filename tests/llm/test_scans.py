@@ -374,6 +374,15 @@ def test_mined_rules_by_hand(spark):
     assert {"block", "allow"} == {got[i] for i in given if not given[i]}
 
 
+def test_rules_of_four_tokens(spark):
+    """Only all four path segments together go with block."""
+    rules = [url_filter.url_rule(v, f"h.net{p}") for v, p in (("block", "/a/b/c/d"), ("allow", "/a/b/c"), ("allow", "/a/b/d"), ("allow", "/a/c/d"), ("allow", "/b/c/d"))]
+    urls = [f"http://h.net{p}" for p in ("/a/b/c/d", "/a/b/c", "/a/b/d", "/a/c/d", "/b/c/d")] * 10 + ["http://o.org/a/b/c/d", "http://o.org/a/b/c"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules).collect()}
+    assert (got[50], got[51]) == ("block", "allow")
+
+
 def rows_of(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(repr([r[i] for i in order]) for r in data)
