@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.session import shared_dir
+
 
 def held(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the session's shared folder; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftloom-"))
+    """The same rows from a reliable checkpoint in the session's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

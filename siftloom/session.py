@@ -21,6 +21,7 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SIFTLOOM_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
@@ -28,6 +29,27 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables that executors and driver share: spark.checkpoint.dir.
+
+    Only a local session without one gets a temporary folder; on a cluster that would be a
+    folder of the driver alone, so there it is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftloom-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's sources to the executors, once per application.
 

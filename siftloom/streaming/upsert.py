@@ -6,7 +6,6 @@ shared folder, so a restarted query goes on where the last one ended.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftloom.operators.logs import KEY, last_wins
+from siftloom.session import removed, shared_dir
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, where it has one; else a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(named or tempfile.mkdtemp(prefix='siftloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the session's shared folder."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -49,6 +48,8 @@ def latest_states(spark: SparkSession, path: str, to_log: Callable[[DataFrame],
         if version:
             new = last_wins(new.unionByName(batch.sparkSession.read.parquet(f"{folder}/v{version - 1}")))
         new.write.mode("overwrite").parquet(f"{folder}/v{version}")
+        if version > 1:  # the one before stays: a batch that runs again reads it
+            removed(batch.sparkSession, f"{folder}/v{version - 2}")
 
     query = file_stream(spark, path).writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
