@@ -35,6 +35,32 @@ INSTRUCTION_WORDS = (
     (("metal", "wood", "glass", "plastic", "denim", "leather"), "material_change"),
 )
 GENERIC_FORBIDDEN = ("no other", "not other", "any other", "other objects", "other background", "unrelated objects", "extra objects", "additional objects")
+BACKGROUND_LEFT = (
+    "original background", "old background", "previous background", "source background", "unchanged background", "original backdrop", "old backdrop", "previous backdrop", "source backdrop",
+    "unchanged backdrop", "original scene", "old scene", "previous scene", "source scene", "original scenery", "old scenery",
+)
+BACKGROUND_NAMES, STAYS = ("background", "backdrop", "scenery", "scene behind"), ("remain", "still", "unchanged", "same", "visible")
+PLACEHOLDERS = (
+    "old", "original", "current", "previous", "existing", "source", "old color", "original color", "current color", "previous color", "existing color", "source color",
+    "old appearance", "original appearance", "current appearance", "previous appearance", "existing appearance",
+)
+CONTENT_STOPWORDS = (
+    "a", "an", "the", "no", "not", "without", "any", "other", "than", "is", "are", "has", "have", "had", "be", "been", "being", "in", "on", "at", "to", "of", "for", "with", "from", "near",
+    "visible", "remains", "remain", "still", "added", "add", "new", "small", "large",
+)
+ABSENCE = ("no ", "not ", "without ", "absent", "missing")
+CONTRADICTED_TYPES = ("object_addition", "attribute_change", "color_change", "material_change", "style_transfer", "background_change")
+LEADING_ARTICLE = r"(?i)^(?:only\s+)?(?:a|an|the|any|new)\s+"
+TERMINAL_PUNCTUATION = r"\s*[.;,]\s*$"
+TEXT_LABEL = r"(?i)\s+(?:reading|labeled|labelled|saying|with\s+text(?:\s+reading)?)\s+['\"].*$"
+QUOTED_TAIL = r"\s+['\"].*$"
+OBJECT_TAILS = (
+    r"(?i)\s+(?:completely|fully|entirely)\s+(?:and\s+)?(?:fill|inpaint|replace|remove|erase)\b.*$",
+    r"(?i)\s+(?:and|then)\s+(?:fill|inpaint|replace|preserve|keep)\b.*$",
+    r"(?i)\s+(?:while|but|without)\s+.*$",
+    r"(?i)\s+(?:completely|fully|entirely)$",
+    r"(?i)\s+(?:from|in)\s+(?:the\s+)?(?:image|scene|photo|picture)$",
+)
 STOPWORDS = ("the", "and", "with", "from", "into", "that", "this", "for", "are", "was", "its", "all", "any", "new", "while", "keep", "make")
 
 
@@ -49,43 +75,41 @@ def clean_text(x: Column, most: int = 160) -> Column:
     return let(trimmed, lambda t: F.when(~F.lower(t).isin("", *NULL_WORDS), F.left(F.regexp_replace(t, r"\s+", " "), F.lit(most))))
 
 
-def clean_list(x: Column, most: int = 8, length: int = 160) -> Column:
-    """Items of a text divided by ; or line ends: clean, without case-insensitive repeats, the first ``most``."""
-    items = F.filter(F.transform(F.split(x, r"[;\n]"), lambda i: clean_text(i, length)), lambda i: i.isNotNull() & (i != ""))
+def clean_items(items: Column, most: int = 8, length: int = 160) -> Column:
+    """Items of a list: clean, without case-insensitive repeats, the first ``most``."""
+    kept = F.filter(F.transform(items, lambda i: clean_text(i, length)), lambda i: i.isNotNull() & (i != ""))
 
     def step(acc: Column, i: Column) -> Column:
         return F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(i)), acc).otherwise(F.concat(acc, F.array(i)))
 
-    return F.slice(F.aggregate(F.coalesce(items, F.array().cast("array<string>")), F.array().cast("array<string>"), step), 1, most)
+    return F.slice(F.aggregate(F.coalesce(kept, F.array().cast("array<string>")), F.array().cast("array<string>"), step), 1, most)
+
+
+def clean_list(x: Column, most: int = 8, length: int = 160) -> Column:
+    """Items of a text divided by ; or line ends, as ``clean_items``."""
+    return clean_items(F.split(x, r"[;\n]"), most, length)
 
 
 def strip_article(x: Column) -> Column:
-    t = F.regexp_replace(clean_text(x), r"(?i)^(?:only\s+)?(?:a|an|the|any|new)\s+", "")
-    return F.nullif(F.trim(t), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(clean_text(x), LEADING_ARTICLE, "")), F.lit(""))
 
 
 def strip_end(x: Column) -> Column:
     """Without punctuation at the end."""
-    return F.nullif(F.trim(F.regexp_replace(clean_text(x), r"\s*[.;,]\s*$", "")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(clean_text(x), TERMINAL_PUNCTUATION, "")), F.lit(""))
 
 
 def strip_label(x: Column) -> Column:
     """Without a quoted text that something is said to show."""
-    t = F.regexp_replace(clean_text(x), r"(?i)\s+(?:reading|labeled|labelled|saying|with\s+text(?:\s+reading)?)\s+['\"].*$", "")
-    return F.nullif(F.trim(F.regexp_replace(t, r"\s+['\"].*$", "")), F.lit(""))
+    t = F.regexp_replace(clean_text(x), TEXT_LABEL, "")
+    return F.nullif(F.trim(F.regexp_replace(t, QUOTED_TAIL, "")), F.lit(""))
 
 
 def trim_tail(x: Column) -> Column:
     """An object's name without what an instruction adds after it."""
     t = let(strip_article(x), lambda v: F.coalesce(strip_end(v), v))
     t = let(t, lambda v: F.coalesce(strip_label(v), v))
-    for pattern in (
-        r"(?i)\s+(?:completely|fully|entirely)\s+(?:and\s+)?(?:fill|inpaint|replace|remove|erase)\b.*$",
-        r"(?i)\s+(?:and|then)\s+(?:fill|inpaint|replace|preserve|keep)\b.*$",
-        r"(?i)\s+(?:while|but|without)\s+.*$",
-        r"(?i)\s+(?:completely|fully|entirely)$",
-        r"(?i)\s+(?:from|in)\s+(?:the\s+)?(?:image|scene|photo|picture)$",
-    ):
+    for pattern in OBJECT_TAILS:
         t = F.trim(F.regexp_replace(t, pattern, ""))
     return F.nullif(t, F.lit(""))
 
@@ -102,7 +126,7 @@ def split_relation(x: Column, most_words: int = 8) -> Column:
     return let(trim_tail(x), parts)
 
 
-def edit_type(x: Column, fallback: str = "local_enhancement") -> Column:
+def edit_type(x: Column, fallback: str | Column = "local_enhancement") -> Column:
     """The edit type that a name or an alias stands for."""
     t = F.translate(F.lower(clean_text(x, 64)), " -", "__")
     aliases = F.create_map(*(F.lit(v) for pair in EDIT_ALIASES.items() for v in pair))
@@ -153,16 +177,29 @@ def subset_of(a: Column, b: Column) -> Column:
     return F.size(F.array_except(tokens(a), tokens(b))) == 0
 
 
-def slot_reason(x: Column, generic: tuple[str, ...], most_words: int) -> Column:
-    """Why a slot's text cannot name an object; null if it can."""
-    t = F.lower(F.coalesce(clean_text(x), F.lit("")))
-    return (
-        F.when(t == "", "missing")
-        .when(t.isin(*generic), "generic")
-        .when(t.rlike("['\"]"), "quoted_text")
-        .when(t.rlike(r"\b(?:remove|replace|add|make|change|turn)\b"), "action_phrase")
-        .when(F.size(F.split(t, r"\s+")) > most_words, "too_long")
-    )
+def background_failure(x: Column) -> Column:
+    """A failure of a change of background: it says that the old one is still there."""
+    low = F.lower(x)
+    told = contains_any(low, BACKGROUND_LEFT) | (contains_any(low, BACKGROUND_NAMES) & contains_any(low, STAYS))
+    return ~generic_forbidden(x) & told
+
+
+def placeholder(x: Column) -> Column:
+    """A source descriptor that describes nothing."""
+    low = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    return (low == "") | low.isin(*PLACEHOLDERS)
+
+
+def content_words(x: Column) -> Column:
+    """Words that tell something, a plural s dropped."""
+    words = F.array_except(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, CONTENT_STOPWORDS)))
+    return F.array_distinct(F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s"), F.left(w, F.length(w) - 1)).otherwise(w)))
+
+
+def contradictory(x: Column, kind: Column, wanted: Column) -> Column:
+    """A failure text that denies what the edit wants: it tells of an absence, and shares a word with the wanted texts."""
+    denies = kind.isin(*CONTRADICTED_TYPES) & contains_any(F.lower(x), ABSENCE)
+    return denies & F.arrays_overlap(content_words(x), content_words(F.array_join(wanted, " ")))
 
 
 def choice(key: Column, seed: int, salt: str, bank: list[str]) -> Column:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftloom.operators import audit, edits, gates, logs, pairs, planner, rank, weights
+from siftloom.operators import audit, contract, edits, gates, logs, pairs, planner, rank, weights
 
 
 def test_planner_admission_by_feasible_count(spark):
@@ -124,7 +124,7 @@ def test_reapplied_gates_keep_a_told_reason(spark):
 
 
 def test_structured_edits(spark):
-    given = [("Remove the cup on the table from the image", "detail"), ("Replace the old car with a red bus, while keeping the road", "detail"), ("Add a small dog near the tree.", "detail"), ("Isolate the lamp", "detail")]
+    given = [("Remove the cup on the table from the image", "detail"), ("Replace the old car with a red bus, while keeping the road", "detail"), ("Add a small dog near the tree.", "detail"), ("Isolate the lamp from the room", "detail")]
     out = edits.normalized(spark.createDataFrame(given, "instruction string, family string"), "instruction", "family").collect()
     by = {r["edit_type"]: r for r in out}
     assert by["object_removal"]["source_object"] == "cup"
@@ -132,6 +132,29 @@ def test_structured_edits(spark):
     assert by["object_replacement"]["forbidden_after"] == ["old car remains visible in the target region", "a separate old car remains visible in the target region"]
     assert (by["object_addition"]["target_object"], by["object_addition"]["target_region"]) == ("small dog", "near the tree")
     assert by["subject_extraction"]["source_object"] == "lamp"
+    assert by["subject_extraction"]["preserve"][:3] == ["subject boundary detail", "lamp pose and shape", "lamp identity"]
+
+
+def test_structured_edits_of_payloads(spark):
+    """Slots given under any of their names come before those that the instruction tells."""
+    rows = [
+        ("Remove the cup", "replace", "old mug's", "glass", "on the shelf", ["mug remains visible on the shelf", "no mug"], "sky; sky;Tree", None, None),
+        ("Move it", "move", "lamp", None, None, None, None, "at the left", "beside the sofa"),
+        ("Change it", "background change", None, None, "behind the dog", ["the dog is missing", "old backdrop is still there"], None, None, None),
+        ("Drop it", "delete", "red cup near the door", None, None, ["red cup remains", "other objects remain near the red cup"], None, None, None),
+        ("Make it", "bogus type", "none", None, "N/A", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "instruction string, type string, object string, replacement_object string, region string, must_not_have_after array<string>, preserve string, source_location string, relation string").withColumn("family", F.lit("detail"))
+    r = edits.normalized(df, "instruction", "family", ("type", "object", "replacement_object", "region", "must_not_have_after", "preserve", "source_location", "relation")).collect()
+    assert (r[0]["edit_type"], r[0]["source_object"], r[0]["target_object"], r[0]["preserve"]) == ("object_replacement", "old mug", "glass", ["sky", "Tree", "background"])
+    assert r[0]["required_after"] == ["glass is visible on the shelf"]
+    assert r[0]["forbidden_after"] == ["mug remains visible on the shelf", "old mug remains visible on the shelf", "a separate old mug remains visible on the shelf"]
+    assert (r[1]["required_after"], r[1]["forbidden_after"]) == (["lamp is beside the sofa"], ["lamp remains at the left"])
+    assert (r[2]["edit_type"], r[2]["forbidden_after"], r[2]["target_region"]) == ("background_change", ["old backdrop is still there"], "behind the dog")
+    assert (r[3]["source_object"], r[3]["target_region"], r[3]["forbidden_after"]) == ("red cup", "near the door", ["red cup remains"])
+    assert r[3]["required_after"] == ["the area near the door is cleanly filled after removing red cup"]
+    assert (r[4]["edit_type"], r[4]["source_object"], r[4]["target_region"]) == ("local_enhancement", None, "main visible target")
+    assert r[4]["forbidden_after"] == ["main visible target remains blurry or unchanged"]
 
 
 def test_acceptors_see_what_earlier_ones_admitted(spark):
@@ -172,20 +195,25 @@ def test_eligibility_reasons(spark):
     base = {"edit_type": "object_addition", "instruction": "Add a dog near the tree", "source_object": None, "target_object": "dog", "target_region": "near the tree", "required_after": ["dog is there"], "forbidden_after": ["dog is absent near the tree"], "preserve": ["x"], "source_attribute": None, "target_attribute": None}
     cases = [
         (base, None),
-        (base | {"target_object": None}, "target_object_missing"),
-        (base | {"target_object": "dog beside"}, "target_object_contains_relation_tail"),
-        (base | {"target_region": "the scene"}, "target_region_generic"),
-        (base | {"target_region": "tree"}, "target_region_missing_anchor"),
-        (base | {"forbidden_after": ["no dog"]}, "negative_forbidden_sentence"),
-        (base | {"forbidden_after": ["cat is absent"]}, "addition_forbidden_missing_target_object"),
-        (base | {"edit_type": "object_replacement", "source_object": "Dog"}, "replacement_same_as_source"),
-        (base | {"edit_type": "object_replacement", "source_object": "old dog", "target_object": "dogs"}, "replacement_overlaps_source"),
-        (base | {"edit_type": "spatial_move", "source_object": "young woman"}, "spatial_target_fragile_or_main_subject"),
-        (base | {"edit_type": "material_change", "source_object": "cup", "instruction": "make the cup red"}, "material_source_state_missing"),
-        (base | {"edit_type": "color_change", "source_object": "cup", "source_attribute": "red", "target_attribute": "different"}, "color_target_state_vague"),
-        (base | {"source_object": "the 'stop' sign"}, "quoted_visible_text"),
+        (base | {"target_object": None}, "proposal_target_object_missing"),
+        (base | {"target_object": "dog beside"}, "proposal_target_object_contains_relation_tail"),
+        (base | {"target_region": "the target region"}, "proposal_target_region_generic"),
+        (base | {"target_region": "tree"}, "proposal_target_region_missing_anchor"),
+        (base | {"forbidden_after": ["no dog"]}, "proposal_forbidden_after_negative_sentence"),
+        (base | {"forbidden_after": ["cat is absent"]}, "proposal_addition_forbidden_missing_target_object"),
+        (base | {"edit_type": "object_replacement", "source_object": "Dog"}, "proposal_replacement_same_as_source"),
+        (base | {"edit_type": "object_replacement", "source_object": "old dog", "target_object": "dog toy"}, "proposal_replacement_overlaps_source"),
+        (base | {"edit_type": "object_replacement", "source_object": "white bench", "target_region": "under the bench"}, "proposal_replacement_region_uses_source_as_anchor"),
+        (base | {"edit_type": "spatial_move", "source_object": "young woman"}, "proposal_spatial_target_fragile_or_main_subject"),
+        (base | {"edit_type": "spatial_move", "source_object": "toy dog"}, None),
+        (base | {"edit_type": "color_change", "source_object": "the left wall", "source_attribute": "red", "target_attribute": "blue"}, "proposal_local_target_broad_head:wall"),
+        (base | {"edit_type": "material_change", "source_object": "cup", "instruction": "make the cup red"}, "proposal_material_source_state_missing"),
+        (base | {"edit_type": "color_change", "source_object": "cup", "source_attribute": "the red state", "target_attribute": "red"}, "proposal_color_state_unchanged"),
+        (base | {"edit_type": "background_change", "instruction": "Remove the sofa, background", "target_region": None}, "proposal_background_change_is_object_edit"),
+        (base | {"source_object": "the 'stop' cup"}, "proposal_contains_quoted_visible_text"),
+        (base | {"source_object": "the dog's sign"}, "proposal_source_object_is_text_like"),
     ]
     schema = "edit_type string, instruction string, source_object string, target_object string, target_region string, required_after array<string>, forbidden_after array<string>, preserve array<string>, source_attribute string, target_attribute string"
     df = spark.createDataFrame([tuple(c.values()) for c, _ in cases], schema)
-    got = [r["r"] for r in df.select(edits.contract_reason(df.columns, explicit_states=True).alias("r")).collect()]
+    got = [r["r"] for r in df.select(contract.eligibility_reason(df.columns, explicit_states=True).alias("r")).collect()]
     assert got == [want for _, want in cases]
