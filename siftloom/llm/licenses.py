@@ -33,10 +33,6 @@ PIECE = 256
 DETECTION = "struct<start:int,stop:int,priority:int,rule:int,label:string,kind:string>"
 
 
-def rule_table() -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(kind).alias("kind"), F.lit(PRIORITY[kind]).alias("priority"), F.lit(regex).alias("regex")) for k, label, word, kind, regex in rules()))
-
-
 def swept(items: Column, zero: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
     """emit(state, item) of each item in order, where advance(state, item) is the state for the next one.
 
@@ -67,10 +63,22 @@ def places(r: Column, matches: Column, between: Column) -> Column:
 
 
 def detections(text: Column, keywords: Column) -> Column:
-    """All matches of the rules whose keyword is in ``keywords``."""
-    gated = F.filter(rule_table(), lambda r: F.array_contains(keywords, r["keyword"]))
-    run = F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(text, r["regex"], F.lit(0)).alias("m")))
-    hit = F.transform(F.filter(run, lambda x: F.size(x["m"]) > 0), lambda x: F.struct(x["r"].alias("r"), x["m"].alias("m"), F.split(text, x["r"]["regex"], -1).alias("b")))
+    """All matches of the rules whose keyword is in ``keywords``.
+
+    Each rule's regex is a constant of its own, compiled once a task; a regex taken from a
+    column would be compiled for each row and rule.
+    """
+    by_word: dict[str, list] = {}
+    for rule in rules():
+        by_word.setdefault(rule[2], []).append(rule)
+
+    def run(k: int, label: str, kind: str, regex: str) -> Column:
+        told = F.struct(F.lit(k).alias("rule"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.lit(PRIORITY[kind]).alias("priority"), F.lit(regex).alias("regex"))
+        return F.struct(told.alias("r"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"))
+
+    gated = (F.when(F.array_contains(keywords, word), F.array(*(run(k, label, kind, regex) for k, label, _, kind, regex in group))) for word, group in by_word.items())
+    found = F.filter(F.flatten(F.array_compact(F.array(*gated))), lambda x: F.size(x["m"]) > 0)
+    hit = F.transform(found, lambda x: F.struct(x["r"].alias("r"), x["m"].alias("m"), F.split(text, x["r"]["regex"], -1).alias("b")))
     return F.flatten(F.transform(hit, lambda x: places(x["r"], x["m"], x["b"])))
 
 
