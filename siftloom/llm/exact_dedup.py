@@ -12,7 +12,8 @@ at the latest. Its recipe is the ordered list of its chunk identifiers.
    with one text is verified; of a hash with several texts, each text gets an
    ordinal of its own.
 3. Rows are equal when their ordered lists of verified identifiers (hash, ordinal)
-   are equal. Of equal rows the one with the largest id stays.
+   are equal. Of equal rows the one with the largest id stays. A group with a large share of
+   all rows is brought to its rows, which stay where they are.
 
 Defined results: a null text equals the empty one; a repeated row (same id, same
 text) is a member of its group like any other and is kept with its twin when its id
@@ -27,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import ascii_lower, cut, sized
+from siftloom.llm.common import ascii_lower, cut, looked_up, sized
 
 MIN_CHARS, MAX_CHARS = 256, 4096
 
@@ -51,6 +52,11 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     )
 
 
+def list_digest(*columns: str) -> Column:
+    """A short name of an identifier list, for joins of rows with the groups that equal lists make."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def ambiguous_chunks(rows: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
     """(chunk_hash, chunk_sha, ordinal) of every hash that stands for more than one chunk text."""
     chunk = rows.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(chunk_hash(F.col("chunk")).alias("chunk_hash"), "chunk")
@@ -73,19 +79,21 @@ def with_ordinals(rows: DataFrame, made: DataFrame, ambiguous: DataFrame, chunk_
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    made = cut(recipes(docs, id_col, text_col, chunk_hash))
-    repeated = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1")
-    ids = made.join(repeated.select("recipe"), "recipe", "left_semi").select(F.col("doc_id").alias("again")).distinct()
-    ids = sized(ids)
+    made = cut(recipes(docs, id_col, text_col, chunk_hash).withColumn("key", list_digest("recipe")))
+    total = made.count()
+    repeated = cut(made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1").select(list_digest("recipe").alias("key"), "n"))
+    ids = sized(looked_up(made.select("doc_id", "key"), repeated, "key", total).filter(F.col("n").isNotNull()).select(F.col("doc_id").alias("again")).distinct())
     rows = normalised(docs, id_col, text_col)
     rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
     ambiguous = cut(ambiguous_chunks(rows, chunk_hash))
     identity = ["recipe"]
     if not ambiguous.isEmpty():
-        made, identity = with_ordinals(rows, made, ambiguous, chunk_hash), ["recipe", "ordinals"]
+        identity = ["recipe", "ordinals"]
+        made = cut(with_ordinals(rows, made, ambiguous, chunk_hash).withColumn("key", list_digest(*identity)))
     groups = made.groupBy(*identity).agg(F.max("doc_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    groups = cut(groups.select(list_digest(*identity).alias("key"), "largest", "n"))
     keep = F.coalesce("largest", "doc_id")
-    return made.join(groups, identity, "left").select(
+    return looked_up(made.select("doc_id", "key", "text_sha256"), groups, "key", total).select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
