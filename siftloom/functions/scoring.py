@@ -167,10 +167,89 @@ def checked_reward(source: Column, edit_success: Column, preservation: Column, v
     return source * geometric_mean([edit_success, preservation, validity])
 
 
-def forbidden_gate(kind: Column, score: Column, threshold: float, hard_kinds: Sequence[str], soft: float) -> Column:
-    """Strict for the kinds named, softened for the others; missing evidence fails."""
-    floor = F.when(kind.isin(*hard_kinds), threshold).otherwise(threshold * soft)
-    return F.coalesce(score >= floor, F.lit(False))
+def forbidden_gate(kind: Column, absent: Column, supported: Column, threshold: float, hard: tuple[Sequence[str], float], soft_kinds: Sequence[str], soft: Sequence[tuple[Column, float]]) -> Column:
+    """Whether what must not be seen is absent.
+
+    Of hard kinds there must be evidence, and it must reach a floor of its own; of the others no
+    evidence passes. Soft kinds that miss the threshold pass where all the scores of ``soft``
+    reach their floors.
+    """
+    hard_kinds, hard_threshold = hard
+    firm = kind.isin(*hard_kinds)
+    strict = F.when(firm, (supported > 0) & (absent >= hard_threshold)).otherwise((absent >= threshold) | (supported <= 0))
+    softened = ~firm & kind.isin(*soft_kinds)
+    for value, floor in soft:
+        softened = softened & F.coalesce(value >= floor, F.lit(False))
+    return F.coalesce(strict, F.lit(False)) | F.coalesce(softened, F.lit(False))
+
+
+def mean_of(values: Column) -> Column:
+    """Mean of an array; null if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def geometric_mean_of(values: Column, default: float = 1.0, floor: float = 1e-6) -> Column:
+    """geometric_mean of an array; the default if it is empty."""
+    logs = F.transform(values, lambda v: F.ln(F.greatest(F.least(v, F.lit(1.0)), F.lit(floor))))
+    return F.when(F.size(values) > 0, F.exp(F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size(values))).otherwise(default)
+
+
+def gate_scores(proxy: Column, told: Column, proxy_supported: Column, told_supported: Column, edge: Column, outside: Column, local: Column, told_needed: bool = False) -> tuple[Column, Column]:
+    """Instruction and preservation scores of the gates: 0.70 proxy + 0.30 told by the model, 0.55 edges + 0.45 outside.
+
+    Without a proxy the model's word counts alone, without that the proxy. Where the model's
+    word is needed and not there, the instruction score is 0.
+    """
+    said = F.when(F.coalesce(proxy_supported, F.lit(1.0)) <= 0, F.coalesce(told, proxy)).otherwise(F.coalesce(0.70 * proxy + 0.30 * told, proxy))
+    said = F.when(F.lit(told_needed) & (F.coalesce(told_supported, F.lit(0.0)) <= 0), 0.0).otherwise(said)
+    return clamp(said), clamp(0.55 * F.coalesce(edge, local) + 0.45 * F.coalesce(outside, local))
+
+
+def taxonomy_score(main: Column, target: Column, drops: Column, wrong: Column, supported: Column, t: float = 0.05, wrong_t: float = 0.05, drop_t: float = 0.05, needed: bool = False) -> Column:
+    """How well an edit's gains by prompt (arrays) fit its kind: main, target, against wrong kinds, and the source's loss."""
+    gain = F.coalesce(mean_of(main), F.lit(0.0))
+    parts = [
+        sigmoid(gain / t),
+        sigmoid(F.coalesce(mean_of(target), gain) / t),
+        F.when(F.size(wrong) > 0, sigmoid((gain - F.array_max(wrong)) / wrong_t)).otherwise(1.0),
+        F.when(F.size(drops) > 0, sigmoid(mean_of(drops) / drop_t)),
+    ]
+    return F.when(supported, geometric_mean(parts)).otherwise(0.0 if needed else 1.0)
+
+
+def grounding_score(supports: Column, center: float = 0.5, t: float = 0.1) -> Column:
+    """Geometric mean over prompts (array): the source is seen before the edit; 1 without prompts."""
+    return geometric_mean_of(F.transform(supports, lambda s: sigmoid((s - center) / t)))
+
+
+def required_score(gains: Column, supports: Column, least: float = 0.0, center: float = 0.5, gain_t: float = 0.05, t: float = 0.1) -> Column:
+    """Geometric mean over prompts: what must be seen gained, and is seen."""
+    return geometric_mean_of(F.zip_with(gains, supports, lambda g, s: F.sqrt(sigmoid((g - least) / gain_t) * sigmoid((s - center) / t))))
+
+
+def absence_score(gains: Column, before: Column, after: Column, least: float = 0.0, center: float = 0.5, gain_t: float = 0.05, t: float = 0.1) -> Column:
+    """Geometric mean over prompts: what must not be seen lost, and is not seen."""
+    drops = F.zip_with(gains, F.zip_with(before, after, lambda b, a: b - a), lambda g, d: F.greatest(-g, d))
+    return geometric_mean_of(F.zip_with(drops, after, lambda d, a: F.sqrt(sigmoid((d - least) / gain_t) * sigmoid((center - a) / t))))
+
+
+def kept_score(unit_cosines: Column, temperature: float = 0.1) -> Column:
+    """Geometric mean over prompts: what is to be preserved looks the same."""
+    return geometric_mean_of(F.transform(unit_cosines, lambda c: F.exp(-(1.0 - c) / temperature)))
+
+
+def combined_reward(edit_success: Column, detector: Column, detector_supported: Column, specificity: Column, taxonomy: Column, taxonomy_counts: Column, preservations: Sequence[Column], combine: bool = True) -> Column:
+    """Geometric mean of the semantic components that there are, with that of the preservation scores."""
+    parts = [edit_success, F.when(detector_supported, detector)]
+    if combine:
+        parts += [specificity, F.when(taxonomy_counts, taxonomy)]
+    return geometric_mean([geometric_mean(parts), geometric_mean(preservations)])
+
+
+def feature_score(before: Column, after: Column, blank: Column, supported: Column, scale: float = 0.05, weight: float = 0.65, neutral: float = 0.5) -> Column:
+    """Instruction score from the gain of the text's unit cosine, with preservation of the blank one; neutral without support."""
+    told = clamp(0.5 + 0.5 * (after - before) / scale)
+    return F.when(supported, weight * told + (1.0 - weight) * blank).otherwise(neutral)
 
 
 def difficulty_band(rate: Column, center: float = 0.5, sigma: float = 0.25) -> Column:
@@ -212,6 +291,18 @@ def rounds_needed(n: Column, each: int) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(n / max(1, each)).cast("long"))
 
 
+def schedule(batches: Column, accumulate: Column, epochs: Column, steps: Column) -> Column:
+    """struct(updates_per_epoch, steps, epochs): a number of steps decides the epochs, without one the epochs the steps."""
+    updates = F.ceil(batches / accumulate).cast("long")
+    return F.struct(updates.alias("updates_per_epoch"), F.coalesce(steps, epochs * updates).alias("steps"), F.when(steps.isNotNull(), F.ceil(steps / updates).cast("long")).otherwise(epochs).alias("epochs"))
+
+
+def resume_position(step: Column, batches: Column, accumulate: Column) -> Column:
+    """struct(epoch, skip): where to go on after so many updates; the last update of an epoch may be a short one."""
+    updates = F.ceil(batches / accumulate).cast("long")
+    return F.struct(F.floor(step / updates).cast("long").alias("epoch"), F.least(F.pmod(step, updates) * accumulate, batches).alias("skip"))
+
+
 def rounded_side(area: Column, ratio: Column, step: int = 32) -> tuple[Column, Column]:
     """Width and height for an area and a ratio, rounded half even to a multiple of step."""
     width = F.sqrt(area * ratio)

@@ -25,24 +25,33 @@ class Planner:
     harm_penalty: float = 0.0
     all_fail: float = 0.35
     all_pass: float = 0.75
+    min_margin: float = 0.0
 
 
-def group_metrics(df: DataFrame, reference: Column, p: Planner) -> DataFrame:
+def group_metrics(df: DataFrame, reference: Column, p: Planner, explicit: Column | None = None, instruction: Column | None = None) -> DataFrame:
     """One row a group from candidates with feasible, accepted, total, raw_reward, edit, specificity, preservation, validity, judge columns.
 
-    All of it is one aggregate; ``feasible`` (gates) and ``accepted`` (rank) stay apart.
+    All of it is one aggregate; ``feasible`` (gates) and ``accepted`` (rank) stay apart. explicit
+    marks rows that tell whether they are feasible (all, if not given): in a group where some
+    do, the others are not feasible; in one where none does, the accepted ones are. instruction
+    is the proposal's text, that of the first row.
     """
     c = F.col
     policy = ~reference
+    explicit = F.lit(True) if explicit is None else explicit
+    told = F.lit("given") if instruction is None else instruction
     judge = F.when(policy & c("judge_supported"), c("judge_score"))
     own = F.greatest(F.coalesce(s.finite(c("total")), F.lit(0.0)), F.coalesce(s.finite(c("raw_reward")), F.lit(0.0)))
     edit = s.first_truthy([c("edit"), c("specificity")])
     agg = df.groupBy("group_id").agg(
         F.count("*").alias("n"),
-        F.count_if(c("feasible")).alias("n_feasible"),
+        F.count_if(explicit).alias("n_explicit"),
+        F.count_if(explicit & c("feasible")).alias("_feasible"),
         F.count_if(c("accepted")).alias("n_accepted"),
         F.count_if(policy).alias("n_policy"),
-        F.count_if(policy & c("feasible")).alias("n_policy_feasible"),
+        F.count_if(policy & explicit & c("feasible")).alias("_policy_feasible"),
+        F.count_if(policy & c("accepted")).alias("_policy_accepted"),
+        F.min_by(told, "candidate_index").alias("instruction"),
         F.coalesce(F.max(F.when(reference, own)), F.lit(0.0)).alias("best_reference"),
         F.max(F.when(policy, own)).alias("_best_policy"),
         F.count_if(reference).alias("n_reference"),
@@ -53,6 +62,10 @@ def group_metrics(df: DataFrame, reference: Column, p: Planner) -> DataFrame:
         F.max("preservation").alias("best_preservation"),
         F.max("validity").alias("best_validity"),
     )
+    legacy = c("n_explicit") == 0
+    agg = agg.withColumn("n_feasible", F.when(legacy, c("n_accepted")).otherwise(c("_feasible"))).withColumn("n_policy_feasible", F.when(legacy, c("_policy_accepted")).otherwise(c("_policy_feasible")))
+    source = F.when(legacy, "legacy_accepted_group_fallback").when(c("n_explicit") == c("n"), "explicit_feasible_group").otherwise("explicit_feasible_group_missing_fail_closed")
+    agg = agg.withColumn("feasibility_source", source).withColumn("eligible", legacy | (c("n_explicit") == c("n"))).drop("_feasible", "_policy_feasible", "_policy_accepted")
     agg = agg.withColumn("feasibility_rate", c("n_feasible") / c("n")).withColumn("acceptance_rate", c("n_accepted") / c("n"))
     agg = agg.withColumn("success_rate", F.when(c("n_policy") > 0, c("n_policy_feasible") / c("n_policy")).otherwise(c("feasibility_rate")))
     agg = agg.withColumn("best_policy", F.coalesce("_best_policy", "best_raw")).drop("_best_policy")
@@ -69,11 +82,13 @@ def group_metrics(df: DataFrame, reference: Column, p: Planner) -> DataFrame:
 
 
 def admission(metrics: DataFrame, p: Planner) -> DataFrame:
-    """Adds use_for_sft."""
+    """Adds use_for_sft: reward and quality are enough, the proposal has an instruction, its group tells of all rows or none, and the outcome supports it."""
     c = F.col
     in_band = c("success_rate").between(*p.band) if p.require_band else F.lit(True)
-    told = ((c("n_accepted") > 0) | (c("improve") > 0)) if p.require_accepted else F.lit(True)
-    return metrics.withColumn("use_for_sft", (c("reward") >= p.min_reward) & (c("quality") >= p.min_quality) & in_band & told)
+    better = (c("n_reference") > 0) & (c("margin") >= p.min_margin)
+    told = ((c("n_accepted") > 0) | better) if p.require_accepted else F.lit(True)
+    instructed = F.coalesce(c("instruction") != "", F.lit(False))
+    return metrics.withColumn("use_for_sft", (c("reward") >= p.min_reward) & (c("quality") >= p.min_quality) & instructed & c("eligible") & in_band & told)
 
 
 def tail(traces: DataFrame, order: list[Column], most: int) -> DataFrame:

@@ -75,16 +75,18 @@ def replay_union_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.mean_one(both).select("group_id", "candidate_index", "kind", s.round6(F.col("sample_weight")).alias("sample_weight"))
 
 
-PLANNER = planner.Planner(improve_weight=0.1, harm_penalty=0.5)
+PLANNER = planner.Planner(improve_weight=0.1, harm_penalty=0.5, require_accepted=True, min_margin=0.05)
 METRICS = """
-    g AS (SELECT group_id, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, count(*) FILTER (accepted) AS n_accepted,
-                 count(*) FILTER (role = 'policy') AS n_policy, count(*) FILTER (role = 'policy' AND feasible) AS n_policy_feasible,
+    told AS (SELECT *, group_id % 11 <> 0 AND (l_partkey % 7 <> 0 OR group_id % 3 <> 0) AS explicit, CASE WHEN group_id % 13 = 0 THEN '' ELSE 'Edit it' END AS instruction FROM judged),
+    g AS (SELECT group_id, count(*) AS n, count(*) FILTER (explicit) AS n_explicit, min(instruction) AS instruction, count(*) FILTER (accepted) AS n_accepted,
+                 CASE WHEN count(*) FILTER (explicit) = 0 THEN count(*) FILTER (accepted) ELSE count(*) FILTER (explicit AND feasible) END AS n_feasible, count(*) FILTER (role = 'policy') AS n_policy,
+                 CASE WHEN count(*) FILTER (explicit) = 0 THEN count(*) FILTER (role = 'policy' AND accepted) ELSE count(*) FILTER (role = 'policy' AND explicit AND feasible) END AS n_policy_feasible,
                  count(*) FILTER (role <> 'policy') AS n_reference,
                  coalesce(max(greatest(reward, raw_reward)) FILTER (role <> 'policy'), 0e0) AS best_reference,
                  coalesce(max(greatest(reward, raw_reward)) FILTER (role = 'policy'), max(raw_reward)) AS best_policy,
                  max(reward) AS best_total, max(raw_reward) AS best_raw, coalesce(max(judge_score) FILTER (role = 'policy' AND judge_supported), 0e0) AS best_judge,
                  max(coalesce(nullif(edit, 0e0), nullif(specificity, 0e0), 0e0)) AS best_edit, max(preservation) AS best_preservation, max(validity) AS best_validity
-          FROM judged GROUP BY group_id),
+          FROM told GROUP BY group_id),
     r AS (SELECT *, CAST(n_feasible AS DOUBLE) / n AS feasibility_rate, CAST(n_accepted AS DOUBLE) / n AS acceptance_rate,
                  CASE WHEN n_policy > 0 THEN CAST(n_policy_feasible AS DOUBLE) / n_policy ELSE CAST(n_feasible AS DOUBLE) / n END AS success_rate,
                  CASE WHEN n_reference > 0 THEN best_policy - best_reference ELSE 0e0 END AS margin, greatest(best_total, best_raw, best_judge) AS quality FROM g),
@@ -93,13 +95,15 @@ METRICS = """
                  CASE WHEN n_reference > 0 THEN least(greatest(-margin / 5e-1, 0e0), 1e0) ELSE 0e0 END AS harm FROM r),
     s AS (SELECT *, (4e-1 * band + 35e-2 * quality + 15e-2 * best_edit + 5e-2 * best_preservation + 5e-2 * best_validity + 1e-1 * improve) * greatest(0e0, 1e0 - 5e-1 * harm) AS plain FROM b),
     p AS (SELECT *, least(greatest(CASE WHEN success_rate <= 0 THEN plain * 35e-2 WHEN success_rate >= 95e-2 THEN plain * 75e-2 ELSE plain END, 0e0), 1e0) AS planner_reward FROM s),
-    adm AS (SELECT *, planner_reward >= 35e-2 AND quality >= 3e-1 AND success_rate BETWEEN 25e-2 AND 75e-2 AS use_for_sft FROM p)
+    adm AS (SELECT *, planner_reward >= 35e-2 AND quality >= 3e-1 AND instruction <> '' AND n_explicit IN (0, n) AND success_rate BETWEEN 25e-2 AND 75e-2 AND (n_accepted > 0 OR n_reference > 0 AND margin >= 5e-2) AS use_for_sft FROM p)
 """
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.judged(spark, sf_dir).withColumn("total", F.col("reward"))
-    return planner.group_metrics(rows, F.col("role").startswith("reference"), PLANNER)
+    g = F.col("group_id")
+    explicit = (g % 11 != 0) & ((F.col("l_partkey") % 7 != 0) | (g % 3 != 0))
+    return planner.group_metrics(rows, F.col("role").startswith("reference"), PLANNER, explicit, F.when(g % 13 == 0, "").otherwise("Edit it"))
 
 
 @query(f"""
@@ -115,13 +119,14 @@ def planner_group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {a.CANDIDATES}, {METRICS}
-    SELECT use_for_sft, CASE WHEN success_rate <= 0 THEN 'all_fail' WHEN success_rate >= 95e-2 THEN 'all_pass' ELSE 'mixed' END AS outcome, CAST(count(*) AS BIGINT) AS n,
-           {r6("avg(planner_reward)")} AS reward_mean FROM adm GROUP BY 1, 2
+    SELECT use_for_sft, CASE WHEN n_explicit = 0 THEN 'legacy_accepted_group_fallback' WHEN n_explicit = n THEN 'explicit_feasible_group' ELSE 'explicit_feasible_group_missing_fail_closed' END AS source,
+           CASE WHEN success_rate <= 0 THEN 'all_fail' WHEN success_rate >= 95e-2 THEN 'all_pass' ELSE 'mixed' END AS outcome, CAST(count(*) AS BIGINT) AS n,
+           {r6("avg(planner_reward)")} AS reward_mean FROM adm GROUP BY 1, 2, 3
 """)
 def planner_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = planner.admission(metrics(spark, sf_dir), PLANNER)
     outcome = F.when(F.col("success_rate") <= 0, "all_fail").when(F.col("success_rate") >= 0.95, "all_pass").otherwise("mixed").alias("outcome")
-    return out.groupBy("use_for_sft", outcome).agg(F.count("*").alias("n"), s.round6(F.avg("reward")).alias("reward_mean"))
+    return out.groupBy("use_for_sft", F.col("feasibility_source").alias("source"), outcome).agg(F.count("*").alias("n"), s.round6(F.avg("reward")).alias("reward_mean"))
 
 
 @query(f"""
