@@ -107,47 +107,116 @@ def removal_gate(before: Column, after: Column, absence: Column, fill: Column) -
 
 @dataclass(frozen=True)
 class Acceptor:
-    """Re-admits rejected rows of some types and reasons whose scores reach floors and stay under ceilings."""
+    """Re-admits rejected rows of some types and reasons that pass flags, reach floors and stay under ceilings.
+
+    Missing evidence fails. An acceptor that lifts hard failures re-admits a row that the
+    judge failed; the others do not.
+    """
 
     name: str
     kinds: tuple[str, ...]
     reasons: tuple[str, ...] = ()
-    floors: dict[str, float] = field(default_factory=dict)
-    ceilings: dict[str, float] = field(default_factory=dict)
     flags: tuple[str, ...] = ()
     off: tuple[str, ...] = ()
-    only_best: bool = True
+    floors: dict[str, float] = field(default_factory=dict)
+    ceilings: dict[str, float] = field(default_factory=dict)
+    only_best: bool = False
+    lifts: bool = False
 
     def holds(self) -> Column:
         out = F.col("edit_type").isin(*self.kinds) & ~F.col("feasible")
-        if self.reasons:
-            out = out & F.coalesce(F.col("reject_reason").isin(*self.reasons), F.lit(False))
-        for name, floor in self.floors.items():
-            out = out & F.coalesce(F.col(name) >= floor, F.lit(False))
-        for name, ceiling in self.ceilings.items():
-            out = out & F.coalesce(F.col(name) <= ceiling, F.lit(False))
-        for name in self.flags:
-            out = out & F.coalesce(F.col(name), F.lit(False))
-        for name in self.off:
-            out = out & F.coalesce(~F.col(name), F.lit(False))
-        return out & F.col("is_best") if self.only_best else out
-
-
-JUDGE_FLOORS = {"judge_semantic": 0.50, "judge_preservation": 0.40, "judge_artifact_free": 0.40}
-ACCEPTORS = (
-    Acceptor("replacement_detector", ("object_replacement",), ("object_detector_contract",), {**JUDGE_FLOORS, "localization": 0.30}, {}, ("judge_reliable", "required_pass", "target_present"), ("source_absent",)),
-    Acceptor("removal_detector", ("object_removal",), ("object_detector_contract",), {**JUDGE_FLOORS, "fill": 0.50}, {"object_visible_after": 0.2}, ("judge_reliable", "required_pass", "region_pass"), ("source_absent",)),
-    Acceptor("removal_judge", ("object_removal",), ("object_detector_contract", "conservative_region"), {**JUDGE_FLOORS, "fill": 0.50, "localization": 0.30}, {"object_visible_after": 0.2}, ("judge_reliable", "required_pass")),
-    Acceptor("removal_structured_absence", ("object_removal",), ("object_detector_contract", "conservative_region", "internal_vlm_judge_hard_fail"), {"fill": 0.60, "raw_reward": 0.25, "localization": 0.40}, {"object_visible_after": 0.2}, ("judge_reliable",)),
-    Acceptor("subject_extraction", ("subject_extraction",), (), {**JUDGE_FLOORS, "raw_reward": 0.25}, {}, ("judge_reliable",)),
-    Acceptor("action_compose", ("action_change", "compose"), (), {**JUDGE_FLOORS, "raw_reward": 0.20}, {}, ("judge_reliable", "required_pass")),
-)
-
-
-def readmit(df: DataFrame, acceptors: tuple[Acceptor, ...] = ACCEPTORS) -> DataFrame:
-    """Applies the acceptors one after the other; a later one sees what an earlier one admitted."""
+        tests = [F.col("reject_reason").isin(*self.reasons)] if self.reasons else []
+        tests += [F.col(n) >= floor for n, floor in self.floors.items()] + [F.col(n) <= ceiling for n, ceiling in self.ceilings.items()]
+        tests += [F.col(n) for n in self.flags] + [~F.col(n) for n in self.off] + ([F.col("is_best")] if self.only_best else [])
+        for test in tests:
+            out = out & F.coalesce(test, F.lit(False))
+        return out
+
+
+# Reasons, floors and ceilings must be as they are for equal results.
+SOURCE_RATIO, SOURCE_DROP = 0.90, 0.04  # of a replaced object's score after the edit, against before
+LEFT_RATIO, LEFT_MARGIN = 1.15, 0.05  # of a removed object's
+REMOVED = {"judge_absence": 0.85, "judge_preservation": 0.85, "judge_artifact_free": 0.85}
+CONTRACT = ("required_pass", "forbidden_pass", "source_left_pass", "removal_pass", "judge_reliable", "reward_pass")
+REPLACEMENT = Acceptor(
+    "replacement_detector", ("object_replacement",), ("object_detector_contract",),
+    ("detector_supported", "source_detected", "target_present", "required_pass", "forbidden_effective", "region_reward_pass", "outside_preservation_pass", "outside_change_pass", "source_score_pass", "judge_reliable", "judge_pass", "reward_pass"),
+    ("source_absent",),
+    {"localization": 0.30, "outside_preservation": 0.80, "judge_semantic": 0.80, "judge_absence": 0.80, "judge_target": 0.85, "judge_target_visible": 0.85, "judge_preservation": 0.85, "judge_artifact_free": 0.85},
+    only_best=True,
+)
+SETTLED = (
+    Acceptor(
+        "removal_detector", ("object_removal",), ("object_detector_contract",), ("detector_supported", "source_detected", "region_pass", "judge_pass", *CONTRACT), ("source_absent",),
+        {**REMOVED, "judge_semantic": 0.80, "judge_fill": 0.80}, only_best=True,
+    ),
+    Acceptor(
+        "removal_judge", ("object_removal",), ("object_detector_contract", "conservative_region"), ("judge_pass", *CONTRACT), (),
+        {**REMOVED, "judge_semantic": 0.80, "judge_fill": 0.80, "outside_preservation": 0.70, "localization": 0.0, "outside_unchanged": 0.90}, only_best=True,
+    ),
+    Acceptor(
+        "removal_structured_absence", ("object_removal",), ("object_detector_contract", "conservative_region", "internal_vlm_judge_hard_fail"), CONTRACT, (),
+        {**REMOVED, "judge_fill": 0.50, "judge_source_before": 0.5, "pre_raw_reward": 0.55, "localization": 0.55, "outside_preservation": 0.80, "outside_unchanged": 0.90}, {"judge_visible_after": 0.2}, only_best=True, lifts=True,
+    ),
+    Acceptor(
+        "subject_extraction", ("subject_extraction",), ("forbidden_gate", "validity", "reward"), ("judge_reliable", "judge_pass", "reward_pass"), (),
+        {"pre_raw_reward": 0.40, "judge_score": 0.80, "judge_semantic": 0.80, "judge_preservation": 0.85, "judge_artifact_free": 0.85, "required_score": 0.55}, lifts=True,
+    ),
+)
+ACTIONS = Acceptor(
+    "action_compose", ("action_change", "compose"), ("forbidden_gate", "edit_specificity", "taxonomy"), ("judge_reliable", "reward_pass", "kept_pass", "preservation_pass", "validity_pass", "required_pass", "region_pass"), ("judge_missing",),
+    {"judge_edit": 0.30, "judge_instruction": 0.20, "judge_overall": 0.30, "judge_preservation": 0.50, "judge_artifact_free": 0.50, "outside_preservation": 0.80}, lifts=True,
+)
+
+
+def evidence(df: DataFrame, override: bool = False) -> DataFrame:
+    """Adds what the acceptors derive from the detector's scores of the source before and after.
+
+    With override, a replacement whose judge and region say that all is well passes without
+    its detector score, and without the forbidden gate where that was the reason.
+    """
+    before, after = F.coalesce(F.col("source_before"), F.lit(0.0)), F.coalesce(F.col("source_after"), F.lit(1.0))
+    told = F.lit(False)
+    if override:
+        told = F.lit(True)
+        for n in ("source_detected", "target_present", "required_pass", "region_reward_pass", "outside_preservation_pass", "outside_change_pass", "judge_reliable", "judge_pass", "reward_pass"):
+            told = told & F.coalesce(F.col(n), F.lit(False))
+        for n, floor in REPLACEMENT.floors.items():
+            told = told & F.coalesce(F.col(n) >= floor, F.lit(False))
+    dropped = after <= F.least(before * SOURCE_RATIO, before - SOURCE_DROP)
+    return df.withColumns(
+        {
+            "source_score_pass": dropped | told,
+            "source_left_pass": after <= F.greatest(before * LEFT_RATIO, before + LEFT_MARGIN),
+            "forbidden_effective": F.col("forbidden_pass") | (told & F.coalesce(F.col("reject_reason") == "forbidden_gate", F.lit(False))),
+        }
+    )
+
+
+def admitted(df: DataFrame, acceptors: tuple[Acceptor, ...]) -> DataFrame:
+    """Applies acceptors to one state of the rows; of several that hold the last gives the reason."""
+    hit, lifted = F.lit(None).cast("string"), F.lit(False)
     for a in acceptors:
-        df = df.withColumn("_hit", a.holds())
-        df = df.withColumn("reject_reason", F.when(F.col("_hit"), f"accepted_vlm_{a.name}_fallback").otherwise(F.col("reject_reason")))
-        df = df.withColumn("reward", F.when(F.col("_hit"), F.col("raw_reward")).otherwise(F.col("reward"))).withColumn("feasible", F.col("feasible") | F.col("_hit"))
-    return df.drop("_hit")
+        hit = F.when(a.holds(), a.name).otherwise(hit)
+        lifted = lifted | a.holds() if a.lifts else lifted
+    df = df.withColumn("_hit", hit).withColumn("_lifted", lifted)
+    df = df.withColumn("hard_fail", F.col("hard_fail") & ~F.col("_lifted")).withColumn("feasible", F.col("feasible") | F.col("_hit").isNotNull())
+    reason = F.when(F.col("_hit").isNotNull(), F.concat(F.lit("accepted_vlm_"), F.col("_hit"), F.lit("_fallback"))).otherwise(F.col("reject_reason"))
+    return df.withColumn("reject_reason", reason).drop("_hit", "_lifted")
+
+
+def readmit(df: DataFrame, override: bool = False, kinds: tuple[str, ...] = ("object_replacement", "object_removal", "subject_extraction", "action_change", "compose")) -> DataFrame:
+    """The judge's last word on a group's rows: acceptors of the kinds named, then hard failures and rewards that are too low.
+
+    Columns: those that the acceptors name, hard_fail, raw_reward (with the judge's part) and pre_raw_reward.
+    """
+    out = evidence(df, override)
+    for stage in ((REPLACEMENT,), SETTLED, (ACTIONS,)):
+        used = tuple(a for a in stage if set(a.kinds) & set(kinds))
+        out = admitted(out, used) if used else out
+    c = F.col
+    stays = c("feasible") & c("reward_pass") & ~c("hard_fail")
+    fails = F.when(c("hard_fail"), "internal_vlm_judge_hard_fail").otherwise("internal_vlm_judge_reward")
+    out = out.withColumn("reject_reason", F.when(c("feasible") & ~stays, fails).otherwise(c("reject_reason")))
+    out = out.withColumn("reward", F.when(stays, c("raw_reward")).otherwise(0.0)).withColumn("feasible", stays)
+    return out.drop("source_score_pass", "source_left_pass", "forbidden_effective")

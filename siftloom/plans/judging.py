@@ -55,37 +55,61 @@ def conservative_region_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(c("v.reason").alias("reason"), c("v.passed").alias("passed")).agg(F.count("*").alias("n"))
 
 
-EVIDENCE = """
-    ev AS (SELECT *, CASE WHEN reject_reason IS NULL THEN NULL WHEN l_suppkey % 3 = 0 THEN 'object_detector_contract' WHEN l_suppkey % 3 = 1 THEN 'conservative_region' ELSE reject_reason END AS told,
-             judge_supported AS reliable, taxonomy >= 2e-1 AS required_pass, l_suppkey % 2 = 0 AS target_present, l_suppkey % 5 = 0 AS source_absent, l_partkey % 2 = 0 AS region_pass,
-             specificity AS sem, preservation AS pre, validity AS art, taxonomy AS fill, judge_score AS loc, (1e0 - preservation) / 2e0 AS visible,
-             row_number() OVER (PARTITION BY group_id ORDER BY raw_reward DESC, candidate_index) = 1 AS is_best FROM rated),
-    f AS (SELECT *, is_best AND NOT feasible AND reliable AS open, sem >= 5e-1 AND pre >= 4e-1 AND art >= 4e-1 AS floors FROM ev),
-    ac AS (SELECT group_id, candidate_index, feasible, told, CASE
-        WHEN open AND edit_type = 'object_replacement' AND told = 'object_detector_contract' AND floors AND loc >= 3e-1 AND required_pass AND target_present AND NOT source_absent THEN 'replacement_detector'
-        WHEN open AND edit_type = 'object_removal' AND told = 'object_detector_contract' AND floors AND fill >= 5e-1 AND visible <= 2e-1 AND required_pass AND region_pass AND NOT source_absent THEN 'removal_detector'
-        WHEN open AND edit_type = 'object_removal' AND told IN ('object_detector_contract', 'conservative_region') AND floors AND fill >= 5e-1 AND loc >= 3e-1 AND visible <= 2e-1 AND required_pass THEN 'removal_judge'
-        WHEN open AND edit_type = 'object_removal' AND told IN ('object_detector_contract', 'conservative_region', 'internal_vlm_judge_hard_fail') AND fill >= 6e-1 AND raw_reward >= 25e-2 AND loc >= 4e-1 AND visible <= 2e-1 THEN 'removal_structured_absence' END AS hit FROM f)
+#: Evidence of the acceptors, each with a number of its own: flags that fail now and then, scores that are low now and then.
+FLAGS = (
+    "detector_supported", "source_detected", "target_present", "required_pass", "forbidden_pass", "region_pass", "region_reward_pass", "outside_preservation_pass", "outside_change_pass",
+    "kept_pass", "preservation_pass", "validity_pass", "removal_pass", "judge_reliable", "judge_pass", "reward_pass",
+)
+SCORES = (
+    "localization", "outside_preservation", "outside_unchanged", "judge_score", "judge_semantic", "judge_absence", "judge_fill", "judge_preservation", "judge_artifact_free", "judge_target", "judge_target_visible",
+    "judge_source_before", "judge_edit", "judge_instruction", "judge_overall", "required_score", "pre_raw_reward",
+)
+MORE = ", ".join([f"(l_partkey * {2 * k + 3} + l_suppkey * 7 + candidate_index) % 29 <> 0 AS {n}" for k, n in enumerate(FLAGS)] + [f"CASE WHEN (l_partkey * {2 * k + 5} + l_suppkey * 11 + candidate_index) % 31 = 0 THEN 45e-2 ELSE 9e-1 END AS {n}" for k, n in enumerate(SCORES)])
+EVIDENCE = f"""
+    base AS (SELECT group_id, candidate_index, ['object_replacement', 'object_removal', 'subject_extraction', 'action_change', 'compose', 'color_change'][CAST(group_id % 6 + 1 AS BIGINT)] AS kind, feasible, raw_reward,
+               CASE WHEN feasible THEN 'accepted' ELSE ['object_detector_contract', 'conservative_region', 'forbidden_gate', 'validity', 'internal_vlm_judge_hard_fail'][CAST((l_partkey + candidate_index) % 5 + 1 AS BIGINT)] END AS told,
+               l_suppkey % 5 = 0 AS source_absent, (l_partkey % 11) / 1e1 AS source_before, (l_suppkey % 9) / 1e1 AS source_after, (l_partkey % 6) / 1e1 AS judge_visible_after, l_suppkey % 13 = 0 AS judge_missing,
+               l_partkey % 8 = 0 AS hard_fail, row_number() OVER (PARTITION BY group_id ORDER BY raw_reward DESC, candidate_index) <= 2 AS is_best, {MORE} FROM rated),
+    derived AS (SELECT *, source_after <= least(source_before * 9e-1, source_before - 4e-2) AS source_score_pass, source_after <= greatest(source_before * 115e-2, source_before + 5e-2) AS source_left_pass,
+               required_pass AND forbidden_pass AND source_after <= greatest(source_before * 115e-2, source_before + 5e-2) AND removal_pass AND judge_reliable AND reward_pass AND is_best AND judge_absence >= 85e-2 AND judge_preservation >= 85e-2 AND judge_artifact_free >= 85e-2 AS contract FROM base),
+    hits AS (SELECT *, CASE
+        WHEN feasible THEN NULL
+        WHEN kind = 'object_replacement' AND told = 'object_detector_contract' AND detector_supported AND source_detected AND NOT source_absent AND target_present AND required_pass AND forbidden_pass AND region_reward_pass AND outside_preservation_pass
+             AND outside_change_pass AND source_score_pass AND judge_reliable AND judge_pass AND reward_pass AND localization >= 3e-1 AND outside_preservation >= 8e-1 AND judge_semantic >= 8e-1 AND judge_absence >= 8e-1 AND judge_target >= 85e-2
+             AND judge_target_visible >= 85e-2 AND judge_preservation >= 85e-2 AND judge_artifact_free >= 85e-2 AND is_best THEN 'replacement_detector'
+        WHEN kind = 'object_removal' AND told IN ('object_detector_contract', 'conservative_region', 'internal_vlm_judge_hard_fail') AND contract AND judge_source_before >= 5e-1 AND judge_visible_after <= 2e-1 AND judge_fill >= 5e-1 AND pre_raw_reward >= 55e-2
+             AND localization >= 55e-2 AND outside_preservation >= 8e-1 AND outside_unchanged >= 9e-1 THEN 'removal_structured_absence'
+        WHEN kind = 'object_removal' AND told IN ('object_detector_contract', 'conservative_region') AND contract AND judge_pass AND judge_semantic >= 8e-1 AND judge_fill >= 8e-1 AND outside_preservation >= 7e-1 AND localization >= 0 AND outside_unchanged >= 9e-1 THEN 'removal_judge'
+        WHEN kind = 'object_removal' AND told = 'object_detector_contract' AND contract AND judge_pass AND detector_supported AND source_detected AND NOT source_absent AND region_pass AND judge_semantic >= 8e-1 AND judge_fill >= 8e-1 THEN 'removal_detector'
+        WHEN kind = 'subject_extraction' AND told IN ('forbidden_gate', 'validity', 'reward') AND judge_reliable AND judge_pass AND reward_pass AND pre_raw_reward >= 4e-1 AND judge_score >= 8e-1 AND judge_semantic >= 8e-1 AND judge_preservation >= 85e-2
+             AND judge_artifact_free >= 85e-2 AND required_score >= 55e-2 THEN 'subject_extraction'
+        WHEN kind IN ('action_change', 'compose') AND told IN ('forbidden_gate', 'edit_specificity', 'taxonomy') AND judge_reliable AND NOT judge_missing AND reward_pass AND judge_edit >= 3e-1 AND judge_instruction >= 2e-1 AND judge_overall >= 3e-1
+             AND judge_preservation >= 5e-1 AND judge_artifact_free >= 5e-1 AND kept_pass AND preservation_pass AND validity_pass AND required_pass AND region_pass AND outside_preservation >= 8e-1 THEN 'action_compose' END AS hit FROM derived),
+    lifted AS (SELECT *, hard_fail AND coalesce(hit NOT IN ('removal_structured_absence', 'subject_extraction', 'action_compose'), true) AS still, feasible OR hit IS NOT NULL AS open FROM hits)
 """
 
 
 @query(f"""
     WITH {a.CANDIDATES}, {EVIDENCE}
-    SELECT group_id, candidate_index, feasible OR hit IS NOT NULL AS feasible, CASE WHEN hit IS NOT NULL THEN 'accepted_vlm_' || hit || '_fallback' ELSE told END AS reject_reason FROM ac
+    SELECT group_id, candidate_index, open AND reward_pass AND NOT still AS feasible, CASE WHEN open AND NOT (reward_pass AND NOT still) THEN CASE WHEN still THEN 'internal_vlm_judge_hard_fail' ELSE 'internal_vlm_judge_reward' END
+           WHEN hit IS NOT NULL THEN 'accepted_vlm_' || hit || '_fallback' ELSE told END AS reject_reason, {r6("CASE WHEN open AND reward_pass AND NOT still THEN raw_reward ELSE 0e0 END")} AS reward FROM lifted
 """)
 def fallback_acceptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     rows = a.rated(spark, sf_dir)
-    told = F.when(c("reject_reason").isNull(), None).when(c("l_suppkey") % 3 == 0, "object_detector_contract").when(c("l_suppkey") % 3 == 1, "conservative_region").otherwise(c("reject_reason"))
-    best = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("raw_reward"), F.asc("candidate_index"))) == 1
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    told = pick(("object_detector_contract", "conservative_region", "forbidden_gate", "validity", "internal_vlm_judge_hard_fail"), (c("l_partkey") + c("candidate_index")) % 5)
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("raw_reward"), F.asc("candidate_index")))
+    number = lambda k, m, n: (c("l_partkey") * k + c("l_suppkey") * m + c("candidate_index")) % n
     rows = rows.withColumns(
         {
-            "reject_reason": told, "judge_reliable": c("judge_supported"), "required_pass": c("taxonomy") >= 0.2, "target_present": c("l_suppkey") % 2 == 0, "source_absent": c("l_suppkey") % 5 == 0,
-            "region_pass": c("l_partkey") % 2 == 0, "judge_semantic": c("specificity"), "judge_preservation": c("preservation"), "judge_artifact_free": c("validity"), "fill": c("taxonomy"),
-            "localization": c("judge_score"), "object_visible_after": (1.0 - c("preservation")) / 2.0, "is_best": best,
+            "edit_type": pick(("object_replacement", "object_removal", "subject_extraction", "action_change", "compose", "color_change"), c("group_id") % 6),
+            "reject_reason": F.when(c("feasible"), "accepted").otherwise(told), "source_absent": c("l_suppkey") % 5 == 0, "source_before": (c("l_partkey") % 11) / 10.0, "source_after": (c("l_suppkey") % 9) / 10.0,
+            "judge_visible_after": (c("l_partkey") % 6) / 10.0, "judge_missing": c("l_suppkey") % 13 == 0, "hard_fail": c("l_partkey") % 8 == 0, "is_best": place <= 2,
+            **{n: number(2 * k + 3, 7, 29) != 0 for k, n in enumerate(FLAGS)}, **{n: F.when(number(2 * k + 5, 11, 31) == 0, 0.45).otherwise(0.9) for k, n in enumerate(SCORES)},
         }
     )
-    return judging.readmit(rows).select("group_id", "candidate_index", "feasible", "reject_reason")
+    return judging.readmit(rows).select("group_id", "candidate_index", "feasible", "reject_reason", s.round6(F.col("reward")).alias("reward"))
 
 
 @query(f"""

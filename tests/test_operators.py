@@ -157,16 +157,45 @@ def test_structured_edits_of_payloads(spark):
     assert r[4]["forbidden_after"] == ["main visible target remains blurry or unchanged"]
 
 
-def test_acceptors_see_what_earlier_ones_admitted(spark):
+def test_acceptors(spark):
     from siftloom.operators import judging
 
-    base = {"group_id": 1, "candidate_index": 0, "edit_type": "object_removal", "feasible": False, "reject_reason": "object_detector_contract", "reward": 0.0, "raw_reward": 0.6, "judge_reliable": True, "required_pass": True, "target_present": True, "source_absent": False, "region_pass": True, "judge_semantic": 0.9, "judge_preservation": 0.9, "judge_artifact_free": 0.9, "fill": 0.9, "localization": 0.9, "object_visible_after": 0.1, "is_best": True}
-    rows = [base, base | {"region_pass": False}, base | {"judge_semantic": 0.1}, base | {"is_best": False}, base | {"object_visible_after": None}, base | {"edit_type": "compose", "reject_reason": None}]
-    schema = "group_id int, candidate_index int, edit_type string, feasible boolean, reject_reason string, reward double, raw_reward double, judge_reliable boolean, required_pass boolean, target_present boolean, source_absent boolean, region_pass boolean, judge_semantic double, judge_preservation double, judge_artifact_free double, fill double, localization double, object_visible_after double, is_best boolean"
-    got = judging.readmit(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()
-    want = ["removal_detector", "removal_judge", "removal_structured_absence", None, None, "action_compose"]
-    assert [r["reject_reason"] if not r["feasible"] else r["reject_reason"].removeprefix("accepted_vlm_").removesuffix("_fallback") for r in got] == [w or "object_detector_contract" for w in want]
-    assert [r["reward"] for r in got] == [0.6, 0.6, 0.6, 0.0, 0.0, 0.6]
+    flags = dict.fromkeys("detector_supported source_detected target_present required_pass forbidden_pass region_pass region_reward_pass outside_preservation_pass outside_change_pass kept_pass preservation_pass validity_pass removal_pass judge_reliable judge_pass reward_pass is_best".split(), True)
+    scores = dict.fromkeys("localization outside_preservation outside_unchanged judge_score judge_semantic judge_absence judge_fill judge_preservation judge_artifact_free judge_target judge_target_visible judge_source_before judge_edit judge_instruction judge_overall required_score pre_raw_reward".split(), 0.95)
+    base = {"edit_type": "object_removal", "feasible": False, "reject_reason": "object_detector_contract", "reward": 0.0, "raw_reward": 0.6, "source_absent": False, "judge_missing": False, "hard_fail": False, "source_before": 0.8, "source_after": 0.2, "judge_visible_after": 0.1, **flags, **scores}
+    cases = [
+        (base, "accepted_vlm_removal_structured_absence_fallback"),
+        (base | {"judge_visible_after": 0.9}, "accepted_vlm_removal_judge_fallback"),
+        (base | {"judge_visible_after": 0.9, "outside_unchanged": 0.1}, "accepted_vlm_removal_detector_fallback"),
+        (base | {"hard_fail": True}, "accepted_vlm_removal_structured_absence_fallback"),
+        (base | {"hard_fail": True, "judge_visible_after": None}, "internal_vlm_judge_hard_fail"),
+        (base | {"is_best": False}, "object_detector_contract"),
+        (base | {"edit_type": "object_replacement"}, "accepted_vlm_replacement_detector_fallback"),
+        (base | {"edit_type": "object_replacement", "source_after": 0.77}, "object_detector_contract"),
+        (base | {"edit_type": "object_replacement", "target_present": None}, "object_detector_contract"),
+        (base | {"edit_type": "subject_extraction", "reject_reason": "validity", "is_best": False}, "accepted_vlm_subject_extraction_fallback"),
+        (base | {"edit_type": "compose", "reject_reason": "taxonomy", "judge_edit": 0.3}, "accepted_vlm_action_compose_fallback"),
+        (base | {"edit_type": "color_change", "feasible": True, "reject_reason": "accepted", "reward_pass": False}, "internal_vlm_judge_reward"),
+    ]
+    kinds = {bool: "boolean", str: "string", float: "double"}
+    df = spark.createDataFrame([tuple(r.values()) for r, _ in cases], ", ".join(f"{n} {kinds[type(v)]}" for n, v in base.items()))
+    got = judging.readmit(df).collect()
+    assert [r["reject_reason"] for r in got] == [want for _, want in cases]
+    assert [r["reward"] for r in got] == [0.6 if want.startswith("accepted") else 0.0 for _, want in cases]
+    late = judging.readmit(df.filter("edit_type = 'object_replacement'"), override=True).collect()
+    assert [r["feasible"] for r in late] == [True, True, False]
+
+
+@pytest.mark.parametrize("feasible, admitted", [(0, False), (1, True), (2, True), (3, True), (4, False)])
+def test_planner_admission(spark, feasible, admitted):
+    """All candidates' gates count, not which one was chosen; missing evidence and blank instructions keep a group out."""
+    schema = "group_id string, candidate_index int, feasible boolean, told boolean, accepted boolean, total double, raw_reward double, edit double, specificity double, preservation double, validity double, judge_supported boolean, judge_score double, instruction string"
+    rows = [(g, i, i < feasible, g != "mixed" or i > 0, i == 0 and feasible > 0, 0.8 if i < feasible else 0.0, 0.8, 0.8, 0.0, 0.8, 0.8, False, None, "" if g == "blank" else "Extract the cup.") for g in ("one", "mixed", "blank") for i in range(4)]
+    m = planner.group_metrics(spark.createDataFrame(rows, schema), F.lit(False), planner.Planner(), F.col("told"), F.col("instruction"))
+    got = {r["group_id"]: r for r in planner.admission(m, planner.Planner()).collect()}
+    assert got["one"]["use_for_sft"] is admitted and got["one"]["feasibility_rate"] == feasible / 4
+    assert not got["mixed"]["use_for_sft"] and not got["blank"]["use_for_sft"]
+    assert got["mixed"]["feasibility_source"] == "explicit_feasible_group_missing_fail_closed"
 
 
 def test_plugins(spark):
