@@ -217,6 +217,75 @@ def group_stages(df: DataFrame, p: Preference, st: Stages, near: Column, success
     )
 
 
+@dataclass(frozen=True)
+class Roles:
+    """Knobs of the stages that set policy rows against reference rows."""
+
+    fallback_to_self_pairs: bool = False
+    reference_wins: bool = True
+    min_policy: float = 0.05
+    min_reference: float = 0.10
+    self_pairs_only: bool = True
+    noop_reasons: tuple[str, ...] = ()
+    hard_negative_reasons: tuple[str, ...] = ()
+    near_reasons: tuple[str, ...] = ()
+
+
+def role_stages(df: DataFrame, p: Preference, st: Stages, r: Roles, near: Column, success: Column, reference: Column, policy: Column, positive: Column) -> DataFrame:
+    """One row a group: the pool its chosen row comes from, that row and its kind, the decision against the reference, and what becomes of the group.
+
+    Reference rows are never chosen. The pool is the positive rows, without any the policy rows,
+    without any all rows. Without an accepted row or a near miss the pool's best row is a probe
+    of the reference, where there is one. The productivity of a group is looked at last: with
+    ``self_pairs_only`` a group that a comparison with the reference decides stays, and
+    so does one whose reason a bypass names.
+    """
+    c = F.col
+    own = policy & ~reference
+    good = positive & ~reference
+    pools = {"positive": good, "policy": own, "all": F.lit(True)}
+    ok = (c("status") == "accepted") & (c("reward") >= p.min_chosen)
+    side = lambda score: F.struct(c(score).alias("score"), c("raw_reward").alias("raw"), (-c("candidate_index")).alias("place"))
+    aggs = [F.count("*").alias("n"), F.count_if(success).alias("n_success"), F.count_if(own).alias("n_policy"), F.count_if(good).alias("n_positive"), F.max(F.when(reference, c("reward"))).alias("reference")]
+    for name, rows in pools.items():
+        aggs += [
+            F.count_if(rows & (c("status") == "accepted")).alias(f"anchors_{name}"),
+            F.max(F.when(rows & ok, side("reward"))).alias(f"best_{name}"),
+            F.max(F.when(rows & near, side("raw_reward"))).alias(f"near_{name}"),
+            F.max(F.when(rows, side("reward"))).alias(f"probe_{name}"),
+        ]
+    g = df.groupBy("group_id").agg(*aggs)
+    pool = F.when(c("n_positive") > 0, "positive").when(c("n_policy") > 0, "policy").otherwise("all")
+    of = lambda what: F.when(c("pool") == "positive", c(f"{what}_positive")).when(c("pool") == "policy", c(f"{what}_policy")).otherwise(c(f"{what}_all"))
+    g = g.withColumn("pool", pool)
+    g = g.withColumns({n: of(n) for n in ("anchors", "best", "near", "probe")}).withColumn("rate", c("n_success") / c("n"))
+    wins = c("near").isNotNull() & (c("anchors") >= st.min_anchors) & (c("best").isNull() | (c("near.score") >= c("best.score") + st.prefer_margin))
+    probes = F.lit(r.reference_wins) & c("reference").isNotNull()
+    g = g.withColumn("kind", F.when(wins, "verified_rejected").when(c("best").isNotNull(), "accepted").when(probes, "reference_probe"))
+    g = g.withColumn("chosen", F.when(wins, c("near")).when(c("best").isNotNull(), c("best")).when(probes, c("probe")))
+    margin = c("chosen.score") - c("reference")
+    decision = F.when(c("reference").isNull(), "base_relative_no_reference_candidate").when(margin >= r.min_policy, "policy_beats_reference").when(margin <= -r.min_reference, "reference_beats_policy").otherwise("base_relative_ambiguous")
+    decision = F.when((c("kind") == "reference_probe") & (decision == "policy_beats_reference"), "base_relative_policy_not_positive").otherwise(decision)
+    g = g.withColumn("decision", F.when(c("kind").isNotNull(), decision))
+    low, high = st.pass_rate
+    dull = ladder([("productive_group_pass_rate_too_low", c("rate") < low), ("productive_group_pass_rate_too_high", c("rate") > high)])
+    g = g.withColumn("dull", dull)
+    settled = F.lit(r.self_pairs_only) & c("decision").isin("policy_beats_reference", "reference_beats_policy")
+    named = lambda reasons: F.lit(r.self_pairs_only) & (c("dull").isin(*reasons) if reasons else F.lit(False))
+    spared = named(r.noop_reasons) | named(r.hard_negative_reasons) | ((c("kind") == "verified_rejected") & named(r.near_reasons))
+    rungs = [
+        ("too_few_images", c("n") < st.min_rows),
+        (c("dull"), c("dull").isNotNull() & F.lit(not r.self_pairs_only)),
+        ("base_relative_no_policy_candidate", (c("n_policy") == 0) & F.lit(not r.fallback_to_self_pairs)),
+        ("no_accepted_chosen", c("kind").isNull()),
+        ("base_relative_policy_not_positive", c("decision") == "base_relative_policy_not_positive"),
+        (F.concat(F.lit("bypassed_"), c("dull")), c("dull").isNotNull() & ~settled & spared),
+        (c("dull"), c("dull").isNotNull() & ~settled),
+    ]
+    reason = F.coalesce(ladder(rungs), F.lit("passed"))
+    return g.select("group_id", "pool", "kind", (-c("chosen.place")).alias("chosen_index"), "decision", reason.alias("reason"))
+
+
 def conservative_score(raw: Column, semantic: list[Column], preservation: list[Column], validity: list[Column], taxonomy: Column, judge: list[Column], judge_counts: Column) -> Column:
     """A row's cautious score: the best of its semantic, the worst of its other axes, and the judge's terms where they count."""
     known = lambda xs, f: f(F.array_compact(F.array(*xs)))

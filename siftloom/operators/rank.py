@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.operators.ordinal import held
+from siftloom.operators.ordinal import held, numbered
 
 
 def group(*order: Column) -> Window:
@@ -106,6 +106,37 @@ def shard(df: DataFrame, ordinal: str, total: int, start: int, count: int) -> Da
     return df.withColumn("slot", F.pmod(F.col(ordinal) - start, F.lit(total)).cast("long")).filter(F.col("slot") < count)
 
 
+def cursor_sample(rows: DataFrame, label: str, key: str, quotas: DataFrame, round_: int, seed: int, count: int, interleave: bool = False) -> DataFrame:
+    """A round's ``count`` rows: place, label, key and whether the row fills up.
+
+    quotas has pos (the labels' order), label and quota. Each label's rows are in hash order and a
+    cursor goes on round by round, starting over after the last. Interleaved, the labels
+    take turns, and a row that a small label would give again counts once; else its
+    repeats stay. What is then missing is filled up from the rows that were not
+    taken, in another hash order.
+    """
+    digest = lambda salt: F.sha2(F.concat_ws("\0", F.lit(salt), F.col(label), F.col(key).cast("string")), 256)
+    order = Window.partitionBy(label).orderBy(digest(f"{seed}:{round_}"), key)
+    placed = held(rows.select(label, key).withColumn("_k", F.row_number().over(order) - 1))
+    sizes = placed.groupBy(label).agg(F.count("*").alias("_size"))
+    plan = quotas.filter("quota > 0").select("pos", F.col("label").alias(label), "quota").join(sizes, label)
+    start = (round_ - 1) * F.col("quota")
+    wanted = plan.select(label, "pos", "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("_turn"), start.alias("_start"))
+    wanted = wanted.withColumn("_k", F.pmod(F.col("_start") + F.col("_turn"), F.col("_size")).cast("int"))
+    taken = wanted.join(placed, [label, "_k"])
+    if interleave:
+        taken = taken.filter(F.col("_turn") < F.col("_size"))
+    sequence = [F.asc("_turn"), F.asc("pos")] if interleave else [F.asc("pos"), F.asc("_turn")]
+    first = held(numbered(taken.select(label, key, "_turn", "pos"), sequence, "place").filter(F.col("place") <= count).select("place", label, key))
+    short = count - first.count()
+    out = first.withColumn("fills", F.lit(False))
+    if short <= 0:
+        return out
+    rest = rows.select(label, key).join(first.select(key).distinct(), key, "left_anti")
+    more = numbered(rest.orderBy(digest(f"{seed}:{round_}:fill"), key).limit(short), [digest(f"{seed}:{round_}:fill"), F.asc(key)], "place")
+    return out.unionByName(more.select((F.col("place") + (count - short)).alias("place"), label, key).withColumn("fills", F.lit(True)))
+
+
 def fold_difficulty(rates: DataFrame, order: str, rate: str, first: int = 2, low: int = 1, high: int = 3, promote: float = 0.65, demote: float = 0.25) -> DataFrame:
     """The level after each round, promoted and demoted by the rounds' rates in order.
 

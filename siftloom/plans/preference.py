@@ -144,6 +144,45 @@ def preference_group_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("group_id", "kind", "chosen_index", "reason", s.round6(F.col("multiplier")).alias("multiplier"))
 
 
+ROLES = pairs.Roles(noop_reasons=("productive_group_pass_rate_too_low",), near_reasons=("productive_group_pass_rate_too_high",))
+
+
+def best_sql(score: str, cond: str) -> str:
+    """The place of a group's best row under a condition, and its score."""
+    order = f"struct_pack(s := -{score}, r := -raw_reward, i := candidate_index)"
+    return f"arg_min(candidate_index, {order}) FILTER ({cond}) AS {{0}}i, max({score}) FILTER ({cond}) AS {{0}}s"
+
+
+POOLS_SQL = ", ".join(
+    f"count(*) FILTER ({cond} AND status = 'accepted') AS {n}_anchors, " + best_sql("reward", f"{cond} AND ok").format(f"{n}_b") + ", " + best_sql("raw_reward", f"{cond} AND near").format(f"{n}_n") + ", " + best_sql("reward", cond).format(f"{n}_p")
+    for n, cond in (("positive", "good"), ("policy", "own"), ("anyone", "true"))
+)
+CHOSEN_SQL = ", ".join(f"CASE pool WHEN 'positive' THEN positive_{x} WHEN 'policy' THEN policy_{x} ELSE anyone_{x} END AS {x}" for x in ("anchors", "bi", "bs", "ni", "ns", "pi", "ps"))
+
+
+@query(f"""
+    WITH {a.CANDIDATES}, m AS (SELECT *, {NEAR} AS near, {SUCCESS} AS success, status = 'accepted' AND reward >= 3e-1 AS ok, role <> 'policy' AS ref, role = 'policy' AND l_suppkey % 3 <> 0 AS own, role = 'policy' AND l_partkey % 4 = 0 AS good FROM judged),
+    g AS (SELECT group_id, count(*) AS n, count(*) FILTER (success) AS n_success, count(*) FILTER (own) AS n_policy, count(*) FILTER (good) AS n_positive, max(reward) FILTER (ref) AS reference, {POOLS_SQL} FROM m GROUP BY 1),
+    o AS (SELECT *, CASE WHEN n_positive > 0 THEN 'positive' WHEN n_policy > 0 THEN 'policy' ELSE 'all' END AS pool, CAST(n_success AS DOUBLE) / n AS rate FROM g),
+    w AS (SELECT group_id, n, n_policy, reference, pool, rate, {CHOSEN_SQL} FROM o),
+    k AS (SELECT *, CASE WHEN ni IS NOT NULL AND anchors >= 1 AND (bi IS NULL OR ns >= bs + 5e-2) THEN 'verified_rejected' WHEN bi IS NOT NULL THEN 'accepted' WHEN reference IS NOT NULL THEN 'reference_probe' END AS kind,
+             CASE WHEN rate < 1e-1 THEN 'productive_group_pass_rate_too_low' WHEN rate > 9e-1 THEN 'productive_group_pass_rate_too_high' END AS dull FROM w),
+    c AS (SELECT *, CASE kind WHEN 'verified_rejected' THEN ni WHEN 'accepted' THEN bi WHEN 'reference_probe' THEN pi END AS chosen_index, CASE kind WHEN 'verified_rejected' THEN ns WHEN 'accepted' THEN bs WHEN 'reference_probe' THEN ps END - reference AS margin FROM k),
+    d AS (SELECT *, CASE WHEN kind IS NULL THEN NULL WHEN reference IS NULL THEN 'base_relative_no_reference_candidate' WHEN margin >= 5e-2 THEN CASE WHEN kind = 'reference_probe' THEN 'base_relative_policy_not_positive' ELSE 'policy_beats_reference' END
+             WHEN margin <= -1e-1 THEN 'reference_beats_policy' ELSE 'base_relative_ambiguous' END AS decision FROM c)
+    SELECT group_id, pool, kind, chosen_index, decision, CASE WHEN n < 2 THEN 'too_few_images' WHEN n_policy = 0 THEN 'base_relative_no_policy_candidate' WHEN kind IS NULL THEN 'no_accepted_chosen' WHEN decision = 'base_relative_policy_not_positive' THEN decision
+        WHEN dull IS NOT NULL AND decision NOT IN ('policy_beats_reference', 'reference_beats_policy') THEN CASE WHEN dull = 'productive_group_pass_rate_too_low' OR kind = 'verified_rejected' THEN 'bypassed_' || dull ELSE dull END ELSE 'passed' END AS reason FROM d
+""")
+def preference_role_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages that split a group by role, probe the reference, and let unproductive groups pass for a reason."""
+    from siftloom.operators import gates
+
+    near = gates.near_miss(("object_removal", "object_replacement", "color_change"), ("validity", "taxonomy"), {"edit": 0.3}, 0.4).isNull()
+    success = gates.strict_success(F.col("judge_supported"), [(F.col("judge_score"), 0.55)], F.col("status"))
+    policy = F.col("role") == "policy"
+    return pairs.role_stages(a.judged(spark, sf_dir), P, ST, ROLES, near, success, ~policy, policy & (F.col("l_suppkey") % 3 != 0), policy & (F.col("l_partkey") % 4 == 0))
+
+
 LN = "ln(greatest(least(greatest({0}, 0e0), 1e0), 1e-6))"
 
 

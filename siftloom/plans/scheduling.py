@@ -49,19 +49,39 @@ def largest_remainder_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.apportion(labels, 97).select("pos", "label", "quota")
 
 
-@query("""
-    WITH n AS (SELECT count(*) AS n FROM documents), o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7' || chr(0) || source || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents),
-    c AS (SELECT source, count(*) AS size FROM documents GROUP BY 1)
-    SELECT doc_id, o.source, CAST((k - (3 * 4) % size + size) % size AS BIGINT) AS slot FROM o JOIN c ON c.source = o.source WHERE (k - (3 * 4) % size + size) % size < 4
-""")
+QUOTAS = (("src3", 4), ("src1", 2), ("src0", 0), ("src2", 30000))
+
+
+def cursor_sql(interleave: bool) -> str:
+    """The fourth round of the quotas, seed 7, a hundred thousand rows at most."""
+    order, once = ("turn, pos", "WHERE turn < size") if interleave else ("pos, turn", "")
+    return f"""
+    WITH q(pos, source, quota) AS (VALUES {", ".join(f"({k}, '{s_}', {n})" for k, (s_, n) in enumerate(QUOTAS))}),
+    o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:4' || chr(0) || source || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS size FROM documents),
+    w AS (SELECT q.source, pos, size, unnest(range(0, quota)) AS turn, quota FROM q JOIN (SELECT source, count(*) AS size FROM documents GROUP BY 1) c ON c.source = q.source WHERE quota > 0),
+    t AS (SELECT o.source, o.doc_id, w.turn, w.pos FROM (SELECT *, (3 * quota + turn) % size AS k FROM w {once}) w JOIN o ON o.source = w.source AND o.k = w.k),
+    f AS (SELECT CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place, source, doc_id FROM t QUALIFY place <= 30100),
+    r AS (SELECT source, doc_id, row_number() OVER (ORDER BY sha256('7:4:fill' || chr(0) || source || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f))
+    SELECT place, source, doc_id, false AS fills FROM f
+    UNION ALL SELECT CAST(k + (SELECT count(*) FROM f) AS BIGINT), source, doc_id, true FROM r WHERE k <= 30100 - (SELECT count(*) FROM f)
+    """
+
+
+def cursor(spark: SparkSession, sf_dir: str, interleave: bool) -> DataFrame:
+    quotas = spark.createDataFrame([(k, s_, n) for k, (s_, n) in enumerate(QUOTAS)], "pos long, label string, quota long")
+    return rank.cursor_sample(a.table(spark, sf_dir, "documents"), "source", "doc_id", quotas, 4, 7, 30_100, interleave)
+
+
+@query(cursor_sql(False))
 def stratified_cursor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fourth round of four records a source, in hash order, starting over after the last."""
-    d = a.table(spark, sf_dir, "documents").select("doc_id", "source")
-    key = F.sha2(F.concat_ws("\0", F.lit("7"), "source", F.col("doc_id").cast("string")), 256)
-    placed = d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(key, "doc_id")) - 1)
-    sizes = d.groupBy("source").agg(F.count("*").alias("size"))
-    out = placed.join(sizes, "source").withColumn("slot", F.pmod(F.col("k") - 12, F.col("size")).cast("long"))
-    return out.filter("slot < 4").select("doc_id", "source", "slot")
+    """The fourth round of a sample by label: small labels start over, what is missing is filled up."""
+    return cursor(spark, sf_dir, False)
+
+
+@query(cursor_sql(True))
+def stratified_cursor_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the labels taking turns."""
+    return cursor(spark, sf_dir, True)
 
 
 @query("""
