@@ -102,7 +102,8 @@ def weighted_mean(pairs: Sequence[tuple[Column, float]], default: float = 0.0) -
 
 def geometric_mean(values: Sequence[Column], default: float = 0.0, floor: float = 1e-6) -> Column:
     """Geometric mean of the present values, clamped to [floor, 1]."""
-    logs = F.array_compact(F.array(*(F.when(finite(v).isNotNull(), F.ln(F.greatest(clamp(finite(v)), F.lit(floor)))) for v in values)))
+    # each value is an element of an array, so it is evaluated once however often the steps name it
+    logs = F.array_compact(F.transform(F.array(*(v.cast("double") for v in values)), lambda v: F.when(finite(v).isNotNull(), F.ln(F.greatest(clamp(v), F.lit(floor))))))
     total = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(logs) > 0, F.exp(total / F.size(logs))).otherwise(default)
 

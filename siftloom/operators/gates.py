@@ -55,6 +55,23 @@ def raw_gates(gain: Column, margin: Column, required: Column, old_state: Column,
     )
 
 
+# The gates' names and order decide the reason.
+CHECKED = ("source_grounded", "required_after", "forbidden_gate", "object_detector_contract", "conservative_region", "check_preservation", "edit_specificity", "taxonomy", "preservation", "validity", "reward")
+
+
+def full_gates(raw: Gates, source: Column, required: Column, forbidden: Column, detector: Column, region: Column, kept: Column, specificity: Column, taxonomy: Column, taxonomy_counts: Column, preservation: Column, validity: Column, reward: Column, floors: dict[str, float]) -> Gates:
+    """The signs of the raw evidence and then the eleven checks of a candidate, in order.
+
+    detector and region pass where they do not apply (null); the taxonomy where it does not count.
+    floors: source, required, kept, specificity, taxonomy, preservation, validity, reward.
+    """
+    passed = (
+        source >= floors["source"], required >= floors["required"], forbidden, F.coalesce(detector, F.lit(1.0)) >= 0.5, F.coalesce(region, F.lit(1.0)) >= 0.5, kept >= floors["kept"],
+        specificity >= floors["specificity"], (taxonomy >= floors["taxonomy"]) | ~taxonomy_counts, preservation >= floors["preservation"], validity >= floors["validity"], reward >= floors["reward"],
+    )
+    return Gates(*raw.gates, *zip(CHECKED, passed, strict=True))
+
+
 def reapply(df: DataFrame, gates: Gates) -> DataFrame:
     """Hard gates once more after a judge: a failing row loses reward and feasibility.
 

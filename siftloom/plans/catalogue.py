@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftloom.plans import admission, arrays, auditing, details, edit_rules, evaluation, judging, logs, preference, ranking, scheduling, text_rules  # noqa: F401
+from siftloom.plans import admission, arrays, auditing, details, edit_rules, evaluation, judging, kernels, logs, preference, ranking, receipts, scheduling, text_rules  # noqa: F401
 from siftloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -86,3 +86,13 @@ def group_completion_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = a.candidate_log(spark, sf_dir).groupBy("group_id").agg(F.count_distinct("candidate_index").alias("n"))
     need = 2 + F.when(F.split_part("group_id", F.lit("_"), F.lit(1)).cast("long") % 3 == 0, 1).otherwise(0)
     return counts.select("group_id", "n", (F.col("n") >= need).alias("complete"))
+
+
+@query(f"""
+    WITH {a.LOG}, c AS (SELECT group_id, count(DISTINCT candidate_index) AS n FROM log WHERE status IN ('accepted', 'rejected') GROUP BY 1) SELECT group_id FROM c WHERE n >= 2
+""")
+def stream_completed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream; each group is told once, when two of its candidates are decided."""
+    from siftloom.streaming.upsert import completed_groups
+
+    return completed_groups(spark, f"{sf_dir}/events.parquet", lambda df: a.log_of(df), 2).select("group_id")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftloom.operators.logs import KEY, last_wins
@@ -95,6 +96,37 @@ def completions(log: DataFrame, k: int) -> DataFrame:
     return log.groupBy("group_id").applyInPandasWithState(step, "group_id string, n long", "seen array<long>, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def completed_groups(spark: SparkSession, path: str, to_log: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """The groups that a stream of a log's files completes, each once, in the order of no batch."""
+    folder = shared_folder(spark)
+    query = completions(to_log(file_stream(spark, path)), k).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("group_id string, n long").parquet(f"{folder}/out")
+
+
+class Progress(StreamingQueryListener):
+    """Heartbeats of streams: one row a batch, with rows read, kept state and seconds; ``rows()`` gives them so far."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[str, int, int, int, float]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.seen.append((str(p.id), p.batchId, p.numInputRows, sum(s.numRowsTotal for s in p.stateOperators), p.batchDuration / 1000.0))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.seen, "query string, batch long, rows long, state_rows long, seconds double")
+
+
 def deduplicated(log: DataFrame, ts: str, late: str) -> DataFrame:
     """A stream without repeats of a key within the watermark."""
     return log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(KEY)
