@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,39 @@ def test_stream_completions(spark, tmp_path):
     q = done.writeStream.outputMode("append").format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["group_id"], r["n"]) for r in spark.sql("SELECT * FROM done").collect()] == [("g", 2)]
+
+
+def test_progress_of_streams(spark, tmp_path):
+    """A row a batch, with the rows that it read."""
+    spark.range(20).repartition(2).write.parquet(str(tmp_path / "in"))
+    heard = upsert.Progress()
+    spark.streams.addListener(heard)
+    try:
+        rows = upsert.file_stream(spark, str(tmp_path / "in"), files_a_batch=1)
+        query = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(50):
+            if sum(r[2] for r in heard.seen) == 20:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(heard)
+    told = heard.rows(spark).collect()
+    assert sum(r["rows"] for r in told) == 20 and len(told) >= 2
+
+
+def test_cluster_without_a_shared_folder_is_an_error(spark):
+    from siftloom import session
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
