@@ -1,26 +1,24 @@
-"""Near copies by the Jaccard similarity of five-word shingles, exactly.
+"""Exact search for pairs of texts by the Jaccard similarity of their sets of word shingles.
 
-Two texts are linked when the sets of their five-word shingles (of fewer words, the whole
-sequence) have a Jaccard similarity of at least 0.8; components of the links are groups.
+The part of ``simhash.similar_groups`` that finds what fingerprints miss. Texts are linked when
+the sets of their shingles (of fewer words, the whole sequence) have a similarity of x/y.
 
 * All shingles have one order: rare ones by their hash first, then the common ones by
-  their count. Sets with n and m shingles that share at least 4/9 (n + m) of them have their
-  first shared shingle among the first n - ceil(0.8 n) + 1 of each, so every linked pair
-  meets at a shingle of both prefixes, and no more are shared than follow there in the
-  shorter rest. Pairs that cannot reach 0.8 by that bound are dropped where they meet.
+  their count. Linked sets with n and m shingles share at least x/(x + y) (n + m) of them, and
+  have their first shared shingle among the first n - ceil(x/y n) + 1 of each. So every
+  linked pair meets at a shingle of both prefixes, and no more are shared than follow there in
+  the shorter rest. Pairs that cannot reach the similarity by that bound are dropped there.
 * Which shingles are common is counted on an eighth of the texts. That moves the order
   only, and any order gives the same links.
-* Texts that meet are first compared with one text a shingle, the one with the fewest rarer
-  shingles; a large group of copies is mostly one component after that. Then all pairs of
-  different components that meet and were not compared are compared: at each shingle those
-  outside of its largest component with all others. A pair in one component needs no look.
+* The candidates given, and the texts that meet, each with one text a shingle, the one with the
+  fewest rarer shingles, are compared first; a large group of copies is mostly one component
+  after that. Then all pairs of different components that meet and were not compared are
+  compared: at each shingle those outside of its largest component with all others. A pair in
+  one component needs no look.
 * A candidate is verified by the sizes of the sets and of their intersection.
 
-Sets are compared by 64-bit hashes of shingles; texts with one set are one node.
-
-Defined results: words are as in ``simhash``; null and wordless texts are one group; a null
-id does not name a group unless all ids of the group are null; repeated rows are each
-returned; an empty table gives an empty result; further columns are ignored.
+Sets are compared by 64-bit hashes of shingles; texts with one set are one node. Words are
+as in ``simhash``. Null and wordless texts have one set, the empty one.
 """
 
 from __future__ import annotations
@@ -37,18 +35,18 @@ from siftloom.llm.common import cut, sized, text_batches
 from siftloom.llm.components import components
 from siftloom.llm.decontaminate import HASHES
 
-N = 5
+SHINGLE, SIMILARITY = 5, (4, 5)
 #: Texts of which one is counted for the order, the copies there that make a shingle common, and the most common ones.
 EACH, OFTEN, MOST_COMMON = 8, 2, 200_000
 BUCKET_TEXTS = 2000
 POSTING = np.dtype([("h", "<i8"), ("node", "<i8"), ("pos", "<i4")])
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles, as unsigned longs."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = np.fromiter((HASHES[w] for w in words), np.uint64, len(words))
-    size = min(N, len(h))
+    size = min(shingle, len(h))
     if not size:
         return h
     out = np.full(len(h) - size + 1, size, np.uint64)
@@ -62,62 +60,52 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """node and its shingles, for each row of docs (doc_id, text)."""
+def sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and its shingles, for each row of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
-                own = [shingle_set(t) for t in batch.column(1).slice(k, 100).to_pylist()]
+                own = [shingle_set(t, shingle) for t in batch.column(0).slice(k, 100).to_pylist()]
                 yield pa.record_batch([pa.array([node_of(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["node", "own"])
 
-    return text_batches(docs).mapInArrow(run, "node long, own array<long>")
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node and n, the number of its shingles, for each row of docs (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(node_of(x), len(x)) for x in map(shingle_set, batch.column(1).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int32())], names=["doc_id", "node", "n"])
-
-    return text_batches(docs).mapInArrow(run, "doc_id long, node long, n int")
+    return text_batches(texts.select("text")).mapInArrow(run, "node long, own array<long>")
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and their counts in one of EACH texts."""
-    some = sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(EACH)) == 0)).select(F.explode("own").alias("h"))
+    some = sets(texts.filter(F.pmod(F.xxhash64("text"), F.lit(EACH)) == 0), shingle).select(F.explode("own").alias("h"))
     most = some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
     h, n = most["h"].to_numpy(), most["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
     """The first shingles of a set in the order of all."""
+    x, y = similarity
     signed, many = own.view(np.int64), np.zeros(len(own), np.int64)
     if len(known) and len(own):
         at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
         many = np.where(known[at] == signed, counts[at], 0)
-    return signed[np.lexsort((signed, many))][: len(own) - (4 * len(own) + 4) // 5 + 1]
+    return signed[np.lexsort((signed, many))][: len(own) + x * len(own) // -y + 1]
 
 
-def meets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def meets(texts: DataFrame, rows: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """h, node, n, pos: the shingles that prefixes of several nodes share.
 
     Prefixes are shuffled packed, those of a batch of texts with one bucket of hashes in one
     row; a bucket has the postings of about BUCKET_TEXTS texts.
     """
-    known, counts = common_shingles(docs)
+    known, counts = common_shingles(texts, shingle)
     buckets = rows.count() // BUCKET_TEXTS + 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for t in batch.column(1).to_pylist():
-                own = shingle_set(t)
-                first = prefix(own, known, counts)
+            for t in batch.column(0).to_pylist():
+                own = shingle_set(t, shingle)
+                first = prefix(own, known, counts, similarity)
                 part = np.empty(len(first), POSTING)
                 part["h"], part["node"], part["pos"] = first, node_of(own), np.arange(len(first))
                 parts.append(part)
@@ -135,36 +123,43 @@ def meets(docs: DataFrame, rows: DataFrame) -> DataFrame:
         posts = posts[np.r_[False, same] | np.r_[same, False]]
         return pa.table({"h": np.ascontiguousarray(posts["h"]), "node": np.ascontiguousarray(posts["node"]), "pos": np.ascontiguousarray(posts["pos"])})
 
-    packed = text_batches(docs).mapInArrow(pack, "bucket long, posts binary")
+    packed = text_batches(texts.select("text")).mapInArrow(pack, "bucket long, posts binary")
     met = packed.groupBy("bucket").applyInArrow(shared, "h long, node long, pos int")
     return cut(met.join(rows.select("node", "n").distinct(), "node").select("h", "node", "n", "pos"))
 
 
-def reach(x: str, y: str) -> Column:
-    """Whether two nodes that share no shingle before this one can reach 0.8."""
-    return F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) * 9 >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * 4
+def reach(x: str, y: str, similarity: tuple[int, int]) -> Column:
+    """Whether two nodes that share no shingle before this one can reach the similarity."""
+    p, q = similarity
+    return F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) * (p + q) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * p
 
 
 def pairs_of(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with a similarity of at least 0.8; the sets are made anew of the texts of docs that are in a pair."""
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that reach the similarity; the sets are made anew of the texts that are in a pair."""
+    p, q = similarity
     wanted = sized(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
-    own = cut(sets(docs).join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
+    own = cut(sets(texts, shingle).join(wanted, F.col("node") == F.col("wanted"), "left_semi").dropDuplicates(["node"]))
     left, right = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    return cut(both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"))
+    return cut(both.filter(F.size(F.array_intersect("x", "y")) * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"))
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, enough for their components; every link is verified."""
-    met = meets(docs, rows)
+def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Links (a, b) between nodes, enough for their components; every link is verified.
+
+    texts has the column text; rows has node and n (shingles) of each; candidates are pairs
+    (a, b) of nodes to look at besides.
+    """
+    met = meets(texts, rows, shingle, similarity)
     middle = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos"), F.struct("pos", "node")).alias("m")).select("h", "m.*")
-    near = (F.col("x.h") == F.col("y.h")) & reach("x", "y")
-    first = cut(pairs_of(met.alias("x").join(middle.alias("y"), near & (F.col("x.node") != F.col("y.node")))))
-    found = verified(first, docs)
+    near = (F.col("x.h") == F.col("y.h")) & reach("x", "y", similarity)
+    first = pairs_of(met.alias("x").join(middle.alias("y"), near & (F.col("x.node") != F.col("y.node"))))
+    first = cut(first.unionByName(candidates).distinct())
+    found = verified(first, texts, shingle, similarity)
 
     roots = components(found)
     named = met.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
@@ -173,20 +168,4 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     open_ = cut(named.join(mixed, "h"))
     apart = near & (F.col("x.root") != F.col("y.root"))
     rest = cut(pairs_of(open_.filter("root <> largest").alias("x").join(open_.alias("y"), apart)).join(first, ["a", "b"], "left_anti"))
-    return found if rest.isEmpty() else found.unionByName(verified(rest, docs))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id for every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(nodes(texts))
-    roots = components(links(texts, rows))
-    named = rows.select("doc_id", "node").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group, all columns; a row without an id stays."""
-    gone = near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(sized(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    return found if rest.isEmpty() else found.unionByName(verified(rest, texts, shingle, similarity))

@@ -1,8 +1,15 @@
 """SimHash near-dedup with Golay-code fuzzy keys.
 
-Fingerprint: 64 bits from the XXH64 hashes (seed 42) of a text's three-word shingles,
-repeats included; a bit is 1 if it is set in over half of the hashes. Two fingerprints
-are linked when they differ in at most ``RADIUS`` = 2 bits.
+Fingerprint: 64 bits from 64-bit hashes of a text's word shingles; a bit is 1 if it is set
+in over half of them. Two rules for a link, each with groups as the components of its links:
+
+* ``near_groups``: fingerprints of three-word shingles (XXH64, seed 42, repeats included)
+  that differ in at most ``RADIUS`` = 2 bits.
+* ``similar_groups``: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+  Fingerprints of those sets within 2 bits are candidates, verified by their sets. At 0.8 two
+  fingerprints differ in ten bits of 64 on average, which no few Golay keys reach, so pairs
+  that the fingerprints miss are found by an exact search over rare shingles (``near_copies``),
+  which starts from the groups known by then. No link is lost.
 
 Search among the distinct fingerprints (copies share one, so a hot group is one row):
 
@@ -23,12 +30,14 @@ Search among the distinct fingerprints (copies share one, so a hot group is one
   words within one error of it, and what meets at such a word within 2 errors is linked
   to the smallest that meets there.
 
-Components of the links name each document's group by its smallest id.
+Components of the links name each document's group by its smallest id. ``keep_one`` decides
+rows by id and text, so a text under a repeated id is a document of its own.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like any other;
-fewer words than three are one shingle; a null id does not name a component unless all
-ids of the component are null; repeated rows are each returned; an empty table gives an
-empty result; further columns are ignored.
+fewer words than a shingle's are one shingle; a null id does not name a component unless all
+ids of the component are null, and such a row stays only in a group without ids; repeated
+rows are each returned by the groups, and one of them at most is kept; an empty table gives
+an empty result; further columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
@@ -42,7 +51,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import cut, sized, text_batches
+from siftloom.llm import near_copies
+from siftloom.llm.common import cut, looked_up, one_of_each, text_batches, text_mark
 from siftloom.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -68,23 +78,31 @@ def fingerprint(text: str | None) -> int:
         starts = (ends - lengths)[: len(words) - SHINGLE + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
-    set_ = np.zeros(64, np.int64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    count = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
-        part = np.array(hashes[k : k + 65_536], dtype=">u8")
-        set_ += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_ > len(hashes)).tobytes(), "big")
+        part = hashes[k : k + 65_536].astype(">u8")
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
+
+
+def read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_mark(F.col(text_col)).alias("mark"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long with the same bits."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, mark and fp, the fingerprint as a signed long with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made)], names=["doc_id", "mark", "fp"])
 
-    return text_batches(rows).mapInArrow(run, "doc_id long, fp long")
+    return text_batches(read(docs, id_col, text_col)).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def remainder(word: int) -> int:
@@ -172,18 +190,68 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group, all columns; a row without an id stays."""
-    gone = near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(sized(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark, fp and root, a fingerprint that names the group, for every row."""
+    marked = cut(fingerprints(docs, id_col, text_col))
+    roots = components(links(marked.select("fp").distinct()))
+    sizes = marked.groupBy("fp").agg(F.count("*").alias("n"))
+    named = sizes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    return cut(looked_up(marked, cut(named), "fp", marked.count()).drop("n"))
+
+
+def named_by_smallest(rows: DataFrame) -> DataFrame:
+    """Adds component_id, the smallest id under the row's root."""
+    smallest = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    return looked_up(rows, smallest, "root", rows.count())
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row."""
-    marked = cut(fingerprints(docs, id_col, text_col))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct))
-    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return named_by_smallest(grouped(docs, id_col, text_col)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def nodes(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, mark, node (a hash of the set of shingles), n (shingles) and fp of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(1).to_pylist():
+                own = near_copies.shingle_set(text, shingle)
+                made.append((near_copies.node_of(own), len(own), majority(own)))
+            node, n, fp = (np.array([m[k] for m in made], t) for k, t in enumerate((np.int64, np.int32, np.uint64)))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(node), pa.array(n), pa.array(fp.view(np.int64))], names=["doc_id", "mark", "node", "n", "fp"])
+
+    return text_batches(texts).mapInArrow(run, "doc_id long, mark long, node long, n int, fp long")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are linked, enough for the components of these links."""
+    distinct = cut(rows.select("node", "fp").distinct())
+    low = cut(distinct.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")))
+    same = looked_up(distinct, low, "fp", distinct.count()).filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    of = lambda side: low.select(F.col("fp").alias(side), F.col("low").alias(f"{side}_low"))
+    near = links(low).join(of("a"), "a").join(of("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    both = same.unionByName(near)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark and root, a node that names the group, for every row."""
+    texts = read(docs, id_col, text_col)
+    rows = cut(nodes(texts, shingle))
+    roots = components(near_copies.links(texts, rows, candidates(rows), shingle, similarity))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
+    named = sizes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    return cut(looked_up(rows.select("doc_id", "mark", "node"), cut(named), "node", rows.count()).select("doc_id", "mark", "root"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: tuple[int, int] = near_copies.SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id for every row, by the similarity (as a fraction) of sets of shingles."""
+    return named_by_smallest(similar(docs, shingle, similarity, id_col, text_col)).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: tuple[int, int] | None = near_copies.SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that have the smallest id of their group, all columns; without a similarity, by ``near_groups``."""
+    rows = similar(docs, shingle, similarity, id_col, text_col) if similarity else grouped(docs, id_col, text_col)
+    return one_of_each(docs, rows, id_col, text_col)

@@ -8,8 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftloom.llm import components, exact_dedup, line_dedup, simhash
-from siftloom.llm import near_copies as jaccard
+from siftloom.llm import components, exact_dedup, line_dedup, near_copies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside.
@@ -75,30 +74,23 @@ def test_exact_keep_one(spark):
     assert exact_dedup.keep_one(df.limit(0)).count() == 0
 
 
-def lines_by_hand(rows, least):
-    """Lines that lie in a run of ``least`` words or more that occurs before, in order of id."""
-    docs = sorted({(i is not None, i or 0, t or "") for i, t in rows})
+def runs_by_hand(rows, least):
+    """Text left and lines deleted by the definition: every run of any length with ``least`` words that occurs before."""
     seen, out = set(), {}
-    by_id = {}
-    for has, i, t in docs:
-        by_id.setdefault((has, i), []).append(t)
-    for (has, i), texts in by_id.items():
-        assert len(texts) == 1  # order of texts under one id is by hash; not checked here
-        t = texts[0]
-        lines = t.split("\n")
+    for has, i, t in sorted({(i is not None, i or 0, t or "") for i, t in rows}):
+        lines, gone = t.split("\n"), set()
         weight = [max(1, len(x.split())) for x in lines]
-        gone, runs = set(), []
         for s in range(len(lines)):
-            e, w = s, 0
-            while e < len(lines) and w < least:
+            w = 0
+            for e in range(s, len(lines)):
                 w += weight[e]
-                e += 1
-            if w >= least:
-                run = tuple(lines[s:e])
-                if run in seen:
-                    gone |= set(range(s, e))
-                seen.add(run)
-        out[(has, i, t)] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+                if w >= least:
+                    run = hash(tuple(lines[s : e + 1]))
+                    if run in seen:
+                        gone |= set(range(s, e + 1))
+                    seen.add(run)
+        assert (has, i) not in out  # the order of texts under one id is by hash; not checked here
+        out[(has, i)] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
     return out
 
 
@@ -114,30 +106,13 @@ def test_line_dedup(spark):
         rows.append((i, "\n".join(paragraph(r.randrange(25), r.choice([3, 12, 30, 70])) if r.random() < 0.7 else r.choice(["", "the end", "same short line"]) for _ in range(r.randrange(1, 14)))))
     rows += [(100, None), (101, ""), (102, "\n".join([paragraph("loop", 20)] * 50)), (103, "\n" * 300), (104, "\n" * 200), (None, paragraph("q", 80)), (105, paragraph("q", 80)), (5, rows[5][1])]
     got = line_dedup.without_repeats(docs_of(spark, rows)).collect()
-    want = lines_by_hand(rows, 50)
+    want = runs_by_hand(rows, 50)
     assert len(got) == len(rows)
-    left = {(i is not None, i or 0): v for (h, i, t), v in want.items() for i in [i if h else None]}
     for g in got:
-        text, n = left[(g["doc_id"] is not None, g["doc_id"] or 0)]
-        assert (g["text"], g["n_deleted"]) == (text, n)
+        assert (g["text"], g["n_deleted"]) == want[(g["doc_id"] is not None, g["doc_id"] or 0)]
     assert line_dedup.without_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def whole_runs_by_hand(rows, least):
-    """Lines to delete by the definition: every run of any length with ``least`` words that occurs before."""
-    seen, out = set(), {}
-    for i, t in sorted(rows):
-        lines, gone = t.split("\n"), set()
-        for s in range(len(lines)):
-            for e in range(s + 1, len(lines) + 1):
-                if sum(max(1, len(x.split())) for x in lines[s:e]) >= least:
-                    if tuple(lines[s:e]) in seen:
-                        gone |= set(range(s, e))
-                    seen.add(tuple(lines[s:e]))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
-    return out
-
-
 def test_whole_runs(spark):
     """The end of a repeated run goes as well, whatever the lengths of its lines."""
     r = random.Random(6)
@@ -146,8 +121,8 @@ def test_whole_runs(spark):
     lines = [paragraph(k, r.choice([2, 5, 20, 30, 60])) for k in range(12)]
     rows += [(10 + i, "\n".join(lines[(k + j) % 12] if r.random() < 0.95 else f"own {i} {j}" for j in range(r.randrange(2, 9)))) for i in range(50) for k in [r.randrange(12)]]
     rows += [(100, "\n".join([paragraph("loop", 20)] * 30)), (101, "\n" * 120)]
-    got = {g["doc_id"]: (g["text"], g["n_deleted"]) for g in line_dedup.without_repeats(docs_of(spark, rows), whole=True).collect()}
-    assert got == whole_runs_by_hand(rows, 50)
+    got = {g["doc_id"]: (g["text"], g["n_deleted"]) for g in line_dedup.without_repeats(docs_of(spark, rows)).collect()}
+    assert got == {i: v for (_, i), v in runs_by_hand(rows, 50).items()}
     assert got[1] == ("y", 3) and got[3] == ("r", 2)
 
 
@@ -187,7 +162,7 @@ def near_by_hand(rows):
     return sorted(((i, f"{f:016x}", low.get(find(f))) for (i, _), f in fps.items()), key=repr)
 
 
-def near_copies():
+def close_copies():
     base = prose(11, 400).split()
     rows = [(0, None), (1, ""), (2, " \n"), (3, "one"), (4, "one two"), (5, "ONE two three"), (6, "one\ttwo  three")]
     r = random.Random(3)
@@ -202,7 +177,7 @@ def near_copies():
 
 
 def test_fingerprints_and_components(spark):
-    rows = near_copies()
+    rows = close_copies()
     got = simhash.near_groups(docs_of(spark, rows))
     assert got.columns == ["doc_id", "fingerprint", "component_id"]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == near_by_hand(rows)
@@ -256,18 +231,47 @@ def test_golay_code_is_perfect():
         assert set(a.tolist()) & set(b.tolist())
 
 
+def kept_by_hand(rows, root):
+    """Of each group one row: the smallest id, a null id last; of texts under one id any."""
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(root[k], []).append((i is None, i, t))
+    return {g: {(i, t) for none, i, t in own if (none, i) == min((n, x) for n, x, _ in own)} for g, own in groups.items()}
+
+
+def assert_kept(kept, rows, root):
+    want, left = kept_by_hand(rows, root), {(r["doc_id"], r["text"]): 0 for r in kept.collect()}
+    for r in kept.collect():
+        left[(r["doc_id"], r["text"])] += 1
+    of = {(i, t): root[k] for k, (i, t) in enumerate(rows)}
+    assert set(left.values()) <= {1}
+    assert sorted(of[x] for x in left) == sorted(want)  # one row a group, none lost
+    assert all(x in want[of[x]] for x in left)
+
+
+AGAIN = [(3, "a text that stands alone under this id"), (5, "the same long text is here two times over"), (5, "the same long text is here two times over"), (5, "another text under a number that is taken"), (9, "a lone pair of rows"), (9, "a lone pair of rows"), (3, "the same long text is here two times over")]
+
+
 def test_simhash_keep_one(spark):
-    rows = near_copies()
+    rows = close_copies() + [(i + 9000, t) for i, t in AGAIN]
     df = docs_of(spark, rows)
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, similarity=None)
     assert kept.columns == df.columns
-    want = sorted(((i, t) for (i, t) in rows if i is None or any(i == a and a == c for a, _, c in near_by_hand(rows))), key=repr)
-    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
+    fps = [fingerprint_by_hand(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        before = list(root)
+        for k, a in enumerate(fps):
+            root[k] = min(root[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 2)
+        if root == before:
+            break
+    assert_kept(kept, rows, root)
     assert simhash.near_groups(df.limit(0)).count() == 0
+    assert simhash.keep_one(df.limit(0)).count() == 0
 
 
-def jaccard_groups_by_hand(rows):
-    """Sorted (id, smallest id of its group): all pairs by sets of five-word shingles."""
+def jaccard_roots(rows):
+    """A number for each row's group: all pairs by sets of five-word shingles."""
     words = [(t or "").encode().lower().split() for _, t in rows]
     held = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     root = list(range(len(rows)))
@@ -281,11 +285,16 @@ def jaccard_groups_by_hand(rows):
         for j, b in enumerate(held[:i]):
             if 5 * len(a & b) >= 4 * len(a | b):
                 root[find(i)] = find(j)
-    low = {}
+    return [find(k) for k in range(len(rows))]
+
+
+def jaccard_groups_by_hand(rows):
+    """Sorted (id, smallest id of its group)."""
+    root, low = jaccard_roots(rows), {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
-            low[find(k)] = min(low.get(find(k), i), i)
-    return sorted(((i, low.get(find(k))) for k, (i, _) in enumerate(rows)), key=repr)
+            low[root[k]] = min(low.get(root[k], i), i)
+    return sorted(((i, low.get(root[k])) for k, (i, _) in enumerate(rows)), key=repr)
 
 
 def jaccard_copies():
@@ -305,24 +314,30 @@ def jaccard_copies():
     return rows + [(None, "nobody's text at all"), (None, rows[40][1]), rows[30]]
 
 
-def test_near_copies_by_hand(spark, monkeypatch):
+def test_similar_groups_by_hand(spark, monkeypatch):
     rows = jaccard_copies()
     want = jaccard_groups_by_hand(rows)
     assert len({i for i, low in want if i != low}) > 100
-    assert sorted((tuple(r) for r in jaccard.near_groups(docs_of(spark, rows)).collect()), key=repr) == want
-    monkeypatch.setattr(jaccard, "MOST_COMMON", 0)  # another order, the same groups
-    assert sorted((tuple(r) for r in jaccard.near_groups(docs_of(spark, rows)).collect()), key=repr) == want
-    assert jaccard.near_groups(docs_of(spark, rows).limit(0)).count() == 0
+    assert sorted((tuple(r) for r in simhash.similar_groups(docs_of(spark, rows)).collect()), key=repr) == want
+    monkeypatch.setattr(near_copies, "MOST_COMMON", 0)  # another order, the same groups
+    assert sorted((tuple(r) for r in simhash.similar_groups(docs_of(spark, rows)).collect()), key=repr) == want
+    assert simhash.similar_groups(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_similar_groups_without_candidates(spark, monkeypatch):
+    """The exact search alone finds every link as well."""
+    rows = jaccard_copies()[:150]
+    monkeypatch.setattr(simhash, "candidates", lambda rows: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    assert sorted((tuple(r) for r in simhash.similar_groups(docs_of(spark, rows)).collect()), key=repr) == jaccard_groups_by_hand(rows)
 
 
 def test_pipeline_near_copies(spark, sf):
-    """The stage leaves one text of each group at 0.8, by all pairs."""
+    """The stage leaves one text of each group at 0.8, by all pairs; texts under one id are told apart."""
     import corpus_pipeline
 
-    rows = [r for r in jaccard_copies() if r[0] is not None]
-    docs = docs_of(spark, dict(rows).items(), clash=False)
-    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_filter(spark, docs, sf).collect())
-    assert got == sorted(i for i, low in jaccard_groups_by_hand(list(dict(rows).items())) if i == low)
+    rows = jaccard_copies() + AGAIN + [(None, None), (None, "one")]
+    docs = docs_of(spark, rows, clash=False)
+    assert_kept(corpus_pipeline.near_dedup_filter(spark, docs, sf), rows, jaccard_roots(rows))
 
 
 def test_components_of_a_path(spark):
