@@ -10,9 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import decontaminate, exact_dedup, mixing, near_copies, quality
-from siftloom.llm.common import shared_dir, table
-from siftloom.session import ship
+from siftloom.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from siftloom.llm.common import table
+from siftloom.session import removed, shared_dir, ship
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, by five-word shingles at 0.8, the document with the smallest id stays."""
     ship(spark)
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents; what each returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", ""
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return docs
