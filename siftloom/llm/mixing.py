@@ -20,14 +20,15 @@ is above.
 
 Defined results: a null or empty text has size 0 and is taken 0 times its size; a null
 source sorts last and is a source like any other; rows alike in id are each rows of
-their own (ties in the order of the blocks change no total); an empty table gives an
-empty result; further columns are ignored.
+their own: rows alike in id, text and source are counted, numbered and dealt to blocks in
+lots of ``LOT`` at most, so reruns agree on them too; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from siftloom.operators.ordinal import numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
-BLOCK = 2000
+BLOCK, LOT = 2000, 500
 EPS = 1e-9
 
 
@@ -70,8 +71,8 @@ def targets(per: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = M
 
 
 def uniform(key: str) -> float:
-    """A number in [0, 1) from a key, the same on every run."""
-    return crc32(key.encode()) / 2**32
+    """A number in [0, 1) from a key, the same on every run; those of different keys are unrelated."""
+    return int.from_bytes(blake2b(key.encode(), digest_size=7).digest(), "big") / 2**56
 
 
 def direction(a: np.ndarray) -> np.ndarray:
@@ -147,8 +148,21 @@ STATE = T.StructType(
 )
 
 
+def lots(measured: DataFrame) -> DataFrame:
+    """Rows alike as one with their number ``times``; more than LOT of them as several rows, each with a tie of its own."""
+    alike = measured.groupBy(*measured.columns).agg(F.count("*").alias("all"))
+    lot = alike.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / LOT))))
+    tie = F.when(F.col("lot") > 0, F.xxhash64("tie", "lot")).otherwise(F.col("tie"))
+    return lot.withColumn("times", F.least(F.lit(LOT), F.col("all") - F.col("lot") * LOT).cast("int")).withColumn("tie", tie).drop("all", "lot")
+
+
+def each(rows: DataFrame) -> DataFrame:
+    """A row for each of the rows alike."""
+    return rows.withColumn("of", F.explode(F.sequence(F.lit(1), "times"))).drop("of", "times")
+
+
 def fly(rows: DataFrame, level: int, seed: str) -> DataFrame:
-    """One level of flights; rows has ``block`` and ``lands`` beside the state. A source that lands is in one block."""
+    """One level of flights; rows has ``block``, ``lands`` and ``times`` beside the state. A source that lands is in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -176,7 +190,7 @@ def fly(rows: DataFrame, level: int, seed: str) -> DataFrame:
         if held:
             yield done()
 
-    dealt = rows.repartition("source_no", "block").sortWithinPartitions("source_no", "block")
+    dealt = each(rows.repartition("source_no", "block")).sortWithinPartitions("source_no", "block")
     return dealt.mapInArrow(run, STATE)
 
 
@@ -185,26 +199,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_CO
     if block < 8:
         raise ValueError("a block holds eight documents at least")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    measured = cut(docs.select("doc_id", words.alias("size"), "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("tie")))
+    measured = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), "source", F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("tie")))
     plan = targets(measured.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = measured.join(sized(plan), measured["source"].eqNullSafe(plan["source"])).select("doc_id", "tie", "size", "source_no", "source_rows", ratio.alias("f"))
+    alike = lots(measured)
+    rows = alike.join(sized(plan), alike["source"].eqNullSafe(plan["source"])).select("doc_id", "tie", "size", "times", "source_no", "source_rows", ratio.alias("f"))
     rows = rows.withColumn("base", F.least(F.floor(F.col("f") + EPS), F.lit(cap)).cast("int")).withColumn("p", F.greatest(F.col("f") - F.col("base"), F.lit(0.0)))
-    rows = rows.withColumn("p", F.when((F.col("p") < EPS) | (F.col("size") == 0), 0.0).otherwise(F.col("p")))
+    rows = cut(rows.withColumn("p", F.when((F.col("p") < EPS) | (F.col("size") == 0), 0.0).otherwise(F.col("p"))))
     state = [f.name for f in STATE]
-    settled = [rows.filter("p = 0").select(*state)]
+    settled = [each(rows.filter("p = 0").select(*state, "times"))]
     facts = sized(plan.select("source_no", "source_size", "target", "source_rows"))
-    open_ = rows.filter("p > 0").select(*state)
+    open_ = rows.filter("p > 0").select(*state, "times")
     level, most, left = 0, plan.agg(F.coalesce(F.max("source_rows"), F.lit(0))).first()[0], F.col("source_rows")
     while most:
         blocks = F.ceil(left / block).cast("long")
         placed = open_.join(facts, "source_no")
-        placed = placed.select(*state, F.pmod(F.xxhash64("tie", F.lit(level)), blocks).alias("block"), (blocks <= 1).alias("lands"))
+        placed = placed.select(*state, "times", F.pmod(F.xxhash64("tie", F.lit(level)), blocks).alias("block"), (blocks <= 1).alias("lands"))
         flown = cut(fly(placed, level, seed))
         settled.append(flown.filter("p = 0 or p = 1"))
         if most <= block:
             break
-        open_, level, left, most = flown.filter("p > 0 and p < 1"), level + 1, 2 * F.ceil(left / block), 2 * -(-most // block)
+        open_ = flown.filter("p > 0 and p < 1").withColumn("times", F.lit(1))
+        level, left, most = level + 1, 2 * F.ceil(left / block), 2 * -(-most // block)
     done = settled[0]
     for part in settled[1:]:
         done = done.unionByName(part)
