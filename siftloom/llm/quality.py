@@ -7,7 +7,8 @@ count over the count of all, times ``SCALE``; a score is the logistic function o
 sparse dot product.
 
 The model is fitted on a bounded sample (``sample`` labelled rows, those with the
-smallest hash of their id), in one task, by follow-the-regularised-leader updates in a
+smallest hash of their id): their features are made where the texts are, and one task, which
+holds these numbers and no text, makes follow-the-regularised-leader updates in a
 fixed order, so a rerun gives the same weights. The weights (2^bits floats) are the only
 thing that goes to the executors; scoring is one pass without a shuffle.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -110,13 +111,18 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights and intercept from (text, label) rows in their order."""
+def counted(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their values, which add up to SCALE."""
+    where, count = np.unique(features(text, bits), return_counts=True)
+    return where.astype(np.int32), (SCALE * count / max(1, count.sum())).astype(np.float32)
+
+
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights and intercept from (features, values, label) rows in their order."""
     at, x, ends, labels = array("i"), array("f"), [0], []
-    for text, label in rows:
-        where, count = np.unique(features(text, bits), return_counts=True)
-        at.frombytes(where.astype(np.int32).tobytes())
-        x.frombytes((SCALE * count / max(1, count.sum())).astype(np.float32).tobytes())
+    for where, value, label in rows:
+        at.frombytes(where.tobytes())
+        x.frombytes(value.tobytes())
         ends.append(len(at))
         labels.append(int(label))
     at, x, model = np.asarray(at), np.asarray(x), Ftrl(bits)
@@ -138,13 +144,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    one = rows.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").coalesce(1).select("text", "label")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [counted(t, bits) for t in batch.column(1).to_pylist()]
+            cols = [batch.column(0), pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary()), batch.column(2)]
+            yield pa.record_batch(cols, names=["doc_id", "at", "x", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.record_batch([pa.array([fit(held, bits).tobytes()], pa.binary())], names=["weights"])
+        given = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(1, 4)), strict=True))
+        weights = fit(((np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), label) for at, x, label in given), bits)
+        yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
-    made = text_batches(one).mapInArrow(run, "weights binary").collect()
+    taught = text_batches(rows.select("doc_id", "text", "label")).mapInArrow(measure, "doc_id long, at binary, x binary, label int")
+    made = taught.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id").mapInArrow(run, "weights binary").collect()
     return np.frombuffer(bytes(made[0]["weights"]), np.float32) if made else np.zeros((1 << bits) + 1, np.float32)
 
 
