@@ -11,10 +11,12 @@ has no false negatives, however long the document. A document is read once; its
 hashes are looked up in the sorted sketch. A candidate is verified by exact containment
 of the shingles' words.
 
-Sketches and shingles of the items are sent to the executors in blocks of at most
-``BLOCK_SHINGLES``; the documents are searched once for each block, so a growing benchmark
-costs passes, not memory. No document is shuffled, so neither copies nor frequent
-passages make a large task.
+Sketches and texts of the items are sent to the executors in blocks of at most
+``BLOCK_BYTES`` of text; the documents are searched once for each block, and a block is
+released before the next one is sent (``leaks``, whose parts run together, holds all of them).
+An item's shingles are made when a document holds one of its sketch, and kept for
+the last ``MOST_ITEMS`` such items. So a growing benchmark costs passes, not memory. No document
+is shuffled, so neither copies nor frequent passages make a large task.
 
 Words are runs of letters, digits and other non-ASCII characters, A-Z lower-cased.
 
@@ -33,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import text_batches
+from siftloom.llm.common import cut, text_batches
 
 N, THRESHOLD = 5, 0.8
-BLOCK_SHINGLES = 2_000_000
+BLOCK_BYTES, MOST_ITEMS = 8_000_000, 2000
 MOST_WORDS = 100_000
 #: Bytes of a word as they are, A-Z in lower case, all others as a space.
 TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127) else 32 for b in range(256))
@@ -82,11 +84,11 @@ def sketch_size(size: int, threshold: float) -> int:
 
 
 class Block:
-    """Sketches of some items, sorted for lookup, and their shingles for the exact check."""
+    """Sketches of some items, sorted for lookup, and their texts for the exact check."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N, threshold: float = THRESHOLD):
         self.n, self.threshold, self.items = n, threshold, []
-        keys, owners = [], []
+        keys, owners, lengths = [], [], set()
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -95,14 +97,24 @@ class Block:
             sketch = hashes[: sketch_size(len(hashes), threshold)]
             keys.append(sketch)
             owners.append(np.full(len(sketch), len(self.items), np.int64))
-            self.items.append((item_id, frozenset(shingles(words, n))))
+            self.items.append((item_id, b" ".join(words)))
+            lengths.add(min(n, len(words)))
         keys, owners = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
-        self.lengths = sorted({len(s) for _, g in self.items for s in g if len(s) < n})
+        self.lengths = sorted(lengths - {n})
+        self.made: dict[int, frozenset] = {}
         self.low = np.zeros(1 << 16, bool)  # a cheap first look: the keys' low bits
         self.low[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def wanted(self, k: int) -> frozenset:
+        """The shingles of an item; remembered."""
+        if k not in self.made:
+            if len(self.made) >= MOST_ITEMS:
+                self.made.clear()
+            self.made[k] = frozenset(shingles(self.items[k][1].split(b" "), self.n))
+        return self.made[k]
+
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, shingles found, shingles) of the items that the text holds."""
         words = words_of(text)
@@ -125,7 +137,7 @@ class Block:
             has.setdefault(len(words), set()).update(shingles(words, self.n))
         out = []
         for k in sorted(found):
-            item_id, want = self.items[k]
+            item_id, want = self.items[k][0], self.wanted(k)
             hit = len(want & has.get(len(next(iter(want))), set()))
             if hit >= self.threshold * len(want) - 1e-9:
                 out.append((item_id, hit, len(want)))
@@ -133,13 +145,13 @@ class Block:
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> Iterator[Block]:
-    """Blocks of items in order of their id; one block at a time is on the driver."""
+    """Blocks of items in order of their id; the driver holds one block's items at a time."""
     held: list[tuple[int, str]] = []
     size = 0
     for row in items.select(id_col, text_col).filter(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         held.append((row[0], row[1]))
-        size += len(row[1]) // 2 + 1  # no text has more shingles
-        if size >= BLOCK_SHINGLES:
+        size += len(row[1].encode())
+        if size >= BLOCK_BYTES:
             yield Block(held, n, threshold)
             held, size = [], 0
     if held:
@@ -173,8 +185,15 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRE
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item; all their columns. One pass a block, no join."""
+    """The rows of docs that hold no item; all their columns. One pass a block, no join.
+
+    Between two blocks the rows that stay are written to the shared folder, and the block is released.
+    """
+    sent = None
     for block in blocks_of(items, "item_id", "text", n, threshold):
+        if sent is not None:
+            docs = cut(docs)
+            sent.destroy()
         sent = docs.sparkSession.sparkContext.broadcast(block)
         at = docs.columns.index(text_col)
 
