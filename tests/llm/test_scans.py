@@ -1,8 +1,10 @@
 """License scans, quality, tokens, decontamination, chat, mixing and URLs against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -43,19 +45,32 @@ def test_base_places(spark):
     assert licenses.license_summary(docs_of(spark, rows).limit(0)).count() == 0
 
 
+MIXED_TEXTS = [
+    LICENSE_TEXTS[10] + " " + LICENSE_TEXTS[13],
+    "GNU General Public License version 2, GPL-3.0+ with the classpath exception; LGPL v2.1, https://www.gnu.org/licenses/gpl-3.0 and Lesser General Public License",
+    "Apache License, Version 2.0 (Apache-2.0) https://www.apache.org/licenses/LICENSE-2.0 Apache licensed. apache license",
+    "CC BY-NC-SA 4.0, CC BY-NC 4.0, CC-BY-SA-4.0, Creative Commons Attribution-NonCommercial-ShareAlike 4.0 https://creativecommons.org/licenses/by-nc/4.0",
+    "Neither the name of X nor the names of its contributors may be used to endorse; new BSD license, BSD 3-clause, BSD-licensed, SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-License-Identifier: MIT, MIT license; licensed under the terms of the MIT License, Copyright (c) 2020. All rights reserved. EULA: end-user license agreement, royalty-free license",
+    "mit license mit license MIT  license public domain, dedicated to the public domain",
+]
+
+
 def test_contained_detections_go(spark):
-    rules, (row,) = license_rules.rules(), licenses.scan(docs_of(spark, [(1, LICENSE_TEXTS[10] + " " + LICENSE_TEXTS[13])])).collect()
-    text, found = row["text"], []
-    for k, label, keyword, kind, regex in rules:
-        if keyword in text.lower() and kind != "base":
-            found += [(m.start(), m.end(), license_rules.PRIORITY[kind], k, label) for m in re.finditer(regex.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), text)]
-    found += [(m.start(), m.end(), 6, 2, "gpl") for m in re.finditer("general public license", text, re.I)]
+    rows = licenses.scan(docs_of(spark, list(enumerate(MIXED_TEXTS)))).collect()
+    assert len(rows) == len(MIXED_TEXTS)
+    for row in rows:
+        text, found = row["text"], []
+        for k, label, keyword, kind, regex in license_rules.rules():
+            if keyword in text.lower():
+                found += [(m.start(), m.end(), license_rules.PRIORITY[kind], k, label) for m in re.finditer(regex.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), text)]
 
-    def covered(a):
-        return any(b != a and b[0] <= a[0] and b[1] >= a[1] and (b[2] > a[2] or b[2] == a[2] and ((b[0], b[1]) != (a[0], a[1]) or b[3] < a[3])) for b in found)
+        def covered(a, found=found):
+            return any(b != a and b[0] <= a[0] and b[1] >= a[1] and (b[2] > a[2] or b[2] == a[2] and ((b[0], b[1]) != (a[0], a[1]) or b[3] < a[3])) for b in found)
 
-    want = sorted(d for d in found if d[2] == 6 or not covered(d))
-    assert sorted((d["start"], d["stop"], d["priority"], d["rule"], d["label"]) for d in row["detections"]) == want
+        want = sorted(d for d in found if d[2] == 6 or not covered(d))
+        assert len(want) > 1
+        assert sorted((d["start"], d["stop"], d["priority"], d["rule"], d["label"]) for d in row["detections"]) == want
 
 
 def test_rules_hold_their_keyword():
@@ -119,6 +134,75 @@ def test_quality(spark, sf):
     assert kept.columns == docs.columns and kept.schema == docs.schema
 
 
+def features_by_hand(text):
+    """Values of the hashed features of a text: words, shapes, pairs of each, and words that repeat their neighbour."""
+    from zlib import crc32
+
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in (text or "").encode().split()]
+    whole = [crc32(w) + 1 for w in words]
+    shapes = []
+    for w in words:
+        marks = [97 if b > 127 or chr(b).isalnum() else b for b in w]
+        shapes.append(crc32(bytes(m for k, m in enumerate(marks) if not k or marks[k - 1] != m), 7) + 3)
+    own = [(h, 0) for h in whole] + [(h, 1) for h in shapes] + [(a * 0x100000001B3 + b, k) for k, hs in ((2, whole), (3, shapes)) for a, b in zip(hs, hs[1:], strict=False)] + [(5, 4) for a, b in zip(whole, whole[1:], strict=False) if a == b]
+    counts = {}
+    for h, salt in own:
+        at = ((h + (salt << 40)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - quality.BITS
+        counts[at] = counts.get(at, 0) + 1
+    return {at: quality.SCALE * n / len(own) for at, n in counts.items()}
+
+
+def model_by_hand(rows):
+    """Scores by FTRL-proximal updates in plain loops; rows of (features, label) in order."""
+    z, n = {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= quality.L1 else -(v - math.copysign(quality.L1, v)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    def score(x):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items()) - weight(-1)))
+
+    for _ in range(quality.EPOCHS):
+        for x, label in rows:
+            x = x | {-1: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            w = {i: weight(i) for i in x}
+            for i, v in x.items():
+                g = (p - label) * v
+                had = n.get(i, 0.0)
+                n[i] = had + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(had)) / quality.ALPHA * w[i]
+    return score
+
+
+def quality_fixture(spark):
+    r = random.Random(2)
+    good = lambda: " ".join(r.choice(["The", "river", "runs", "north,", "and", "École", "stands."]) for _ in range(r.randrange(1, 60)))
+    bad = lambda: " ".join(r.choice(["buy!!", "buy!!", "$$$", "now", "###", "x1x1"]) for _ in range(r.randrange(1, 60)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(150)] + [(200, None), (201, ""), (202, "now now now " * 9000)]
+    labels = [(i, int(i % 3 > 0)) for i in range(100)] + [(200, 1), (5, None), (900, 1)]
+    return rows, labels
+
+
+def by_hand(spark, rows, labels):
+    """The score of every row, by the plain model of the labelled rows that may teach."""
+    may = {i: q for i, q in labels if q is not None and zlib.crc32(str(i).encode()) % 5 and i in dict(rows)}
+    order = [r["i"] for r in spark.createDataFrame([(i,) for i in may], "i long").orderBy(F.xxhash64("i", F.lit("order")), "i").collect()]
+    score = model_by_hand([(features_by_hand(dict(rows)[i]), may[i]) for i in order])
+    return {i: score(features_by_hand(t)) for i, t in rows}
+
+
+def test_quality_by_hand(spark):
+    rows, labels = quality_fixture(spark)
+    want = by_hand(spark, rows, labels)
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    w = quality.train(docs_of(spark, rows), table.filter(~quality.held_out()))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs_of(spark, rows), w).collect()}
+    assert got == pytest.approx(want, abs=2e-4)
+    assert min(got.values()) < 0.3 < max(got.values())
+
+
 def test_quality_edges(spark):
     df = docs_of(spark, [(1, None), (2, ""), (3, "a b " * 20_000), (3, "a b " * 20_000), (None, "x")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -211,8 +295,8 @@ def test_leaks(spark, monkeypatch):
     docs.append((100, docs[-1][1]))
     item_df = spark.createDataFrame(items, "item_id long, text string")
     want = leaks_by_hand(docs, items)
-    for block in (2_000_000, 40):  # one block, and several
-        monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", block)
+    for block in (8_000_000, 500):  # one block, and several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         got = decontaminate.leaks(docs_of(spark, docs), item_df)
         assert sorted(((x["doc_id"], x["item_id"]) for x in got.collect()), key=repr) == want
         kept = decontaminate.clean(docs_of(spark, docs), item_df)
@@ -383,6 +467,35 @@ def test_rules_of_four_tokens(spark):
     assert (got[50], got[51]) == ("block", "allow")
 
 
+def test_forty_tokens_of_one_template(spark):
+    """Tokens that always come together are one item; each of them alone tells the class."""
+    rules = [url_filter.url_rule("block", "bad.net/"), url_filter.url_rule("allow", "good.org/")]
+    query = "&".join(f"k{i}=1" for i in range(40))
+    urls = [f"http://bad.net/{c}?{query}" for c in "abcdefgh" * 6] + [f"http://good.org/{c}" for c in "abcdefgh" * 6] + ["http://o.com/a?k7=2", "http://o.com/a"]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert (got[96]["verdict"], got[97]["verdict"]) == ("block", "allow")
+
+
+def test_labelled_urls(spark):
+    """URLs with a verdict of their own teach beside the rules; others teach nothing."""
+    pages = spark.createDataFrame([(1, "http://x.shop/win"), (2, "http://y.shop/news"), (3, None)], "page_id long, url string")
+    labels = spark.createDataFrame([("http://a.shop/win", "block"), ("http://b.shop/win", "block"), ("http://c.shop/news", "allow"), ("http://d.shop/news", "maybe"), (None, "block"), ("http://e.shop/news", None)], "url string, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, [], min_support=0.3, labels=labels).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows alike are dealt in lots; reruns agree."""
+    rows = [(1, "a b c d")] * 1700 + [(i, "w " * (i % 40)) for i in range(2, 400)]
+    df = docs_of(spark, rows, lambda i: "hot" if i < 300 else "s2")
+    got = mixing.mix(df, block=64).collect()
+    assert len(got) == len(rows)
+    assert sorted(tuple(x) for x in got) == sorted(tuple(x) for x in mixing.mix(df.repartition(7), block=64).collect())
+    for name in ("hot", "s2"):
+        own = [x for x in got if (x["doc_id"] < 300) == (name == "hot")]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 80
+
+
 def rows_of(names, data):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(repr([r[i] for i in order]) for r in data)
@@ -405,6 +518,68 @@ def test_query_runs(spark, sf, name):
     assert queries.queries()[name](spark, sf).count() > 0
 
 
+def test_pipeline_stages_by_hand(spark, tmp_path):
+    """Each stage against its brute-force version, on its predecessor's rows: nulls, repeats, empty texts, ids that repeat."""
+    import corpus_pipeline
+    from test_dedup import assert_kept, jaccard_roots
+
+    rows, labels = quality_fixture(spark)
+    item = "seven small ships sail slowly past the old stone harbour wall tonight"
+    base = " ".join(f"The river{k} runs north," for k in range(40))
+    rows += [(300, base), (301, base.upper()), (302, base.replace("river3 ", "lake ")), (303, "The river and École " + item + " stands. The river runs"), (304, item), (300, base), (300, "École stands."), (None, "The river runs"), (None, base)]
+    docs = spark.createDataFrame([(i, t, "en", None if i is None else "hot" if i % 4 else "cold", len(t or "")) for i, t in rows], DOCS)
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+
+    kept = corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    teaching = {}
+    for i, t in rows:  # texts under one id teach as the largest of them
+        teaching[i] = max(teaching.get(i) or "", t or "")
+    score = by_hand(spark, [(i, teaching[i]) for i, _ in labels if i in teaching and i is not None] + [(("row", k), t) for k, (_, t) in enumerate(rows)], labels)
+    assert sorted(texts(kept), key=repr) == sorted((r for k, r in enumerate(rows) if score[("row", k)] >= 0.3), key=repr)
+    assert 20 < kept.count() < len(rows)
+
+    once = corpus_pipeline.exact_dedup_filter(spark, kept, str(tmp_path))
+    groups = {}
+    for i, t in texts(kept):
+        key = (t or "").encode().lower()
+        groups[key] = max(groups.get(key, -1), -1 if i is None else i)
+    assert sorted(((t or "").encode().lower(), -1 if i is None else i) for i, t in texts(once)) == sorted(groups.items())
+
+    apart = corpus_pipeline.near_dedup_filter(spark, once, str(tmp_path))
+    assert_kept(apart, texts(once), jaccard_roots(texts(once)))
+    assert apart.count() < once.count()
+
+    clean = corpus_pipeline.decontamination_filter(spark, apart, str(tmp_path))
+    leaks = [k for k, row in enumerate(texts(apart)) if leaks_by_hand([(0, row[1])], [(1, item)])]
+    assert len(leaks) == 2
+    assert sorted(texts(clean), key=repr) == sorted((row for k, row in enumerate(texts(apart)) if k not in leaks), key=repr)
+    for df in (kept, once, apart, clean):
+        assert df.columns == docs.columns
+
+    mixed = corpus_pipeline.source_mix(spark, clean, str(tmp_path)).collect()
+    source = {i: None if i is None else "hot" if i % 4 else "cold" for i, _ in texts(clean)}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    size = [sum(len((t or "").split()) for i, t in texts(clean) if source[i] == s) for s in names]
+    assert len(mixed) == clean.count()
+    for s, want in zip(names, targets_by_hand(size), strict=True):
+        own = [x for x in mixed if source[x["doc_id"]] == s]
+        assert own[0]["target"] == pytest.approx(want) and all(x["taken"] <= 3 * x["size"] for x in own)
+        assert abs(sum(x["taken"] for x in own) - want) <= max(x["size"] for x in own)
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in final.collect()), key=repr) == sorted((tuple(r) for r in mixed), key=repr)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
