@@ -1,12 +1,10 @@
 """Line dedup: repeated runs of lines by a suffix array over line identifiers (DataFrame functions only).
 
-The corpus is one sequence of lines, documents in order of their id. A place's window is
-the shortest run of lines from there that has ``MIN_WORDS`` words; every window that occurs
-before is deleted, its first copy stays. That is the rule of the query's SQL. It leaves the
-lines at the end of a longer repeated run that are shorter than a window and lie in none
-that is repeated. With ``whole`` the shortest runs that end at each place count as well, and
-then every run of MIN_WORDS words or more that occurs before is deleted to its end: it is
-covered by the windows that start in it and the one that ends with it, all repeated.
+The corpus is one sequence of lines, documents in order of their id. Every run of lines of one
+document that has ``MIN_WORDS`` words or more and occurs before is deleted; its first copy
+stays. A maximal repeated run is covered by its shortest runs of MIN_WORDS words: those
+that start at each of its lines, and the one that ends with its last line. So only the
+shortest runs from each place and up to each place are looked for.
 
 1. A line's identifier is the rank of its 128-bit hash among the hashes that occur more
    than once. A line that occurs once ends every repeated run, so only the other lines
@@ -16,7 +14,7 @@ covered by the windows that start in it and the one that ends with it, all repea
    globally, ranks keep the order of the sequences, so they are the suffix array's
    order to depth 2^(q+1). A place without a partner drops out. Each round ends in a
    reliable checkpoint.
-3. Each place needs the depths r at which its runs have MIN_WORDS words. Suffixes that share
+3. Each place needs the depths r of its shortest runs of MIN_WORDS words. Suffixes that share
    their first r lines, an interval of the suffix array with a longest common prefix of
    at least r, have equal (r, rank at depth 2^q, rank at depth 2^q of the place r - 2^q
    on), 2^q <= r < 2^(q+1). In each interval the earliest place is the first copy; the
@@ -25,7 +23,8 @@ covered by the windows that start in it and the one that ends with it, all repea
 
 Shuffles carry hashes, ranks and places, never lines; groups are pre-aggregated before
 they are shuffled, and first copies are joined back, so a very common line is split
-like any other skewed join. The texts move once, to the lines deleted from them.
+like any other skewed join. The spans are brought to the texts while they are few, counted;
+beyond that the texts move once.
 
 Defined results: a null text is one empty line; a line without words counts as one word;
 rows alike in id and text are one document, each returned with the same result; rows
@@ -38,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import cut
+from siftloom.llm.common import BROADCAST_ROWS, cut
 
 MIN_WORDS = 50
 PLACE = ["doc", "mark", "line"]
@@ -70,13 +69,13 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return several.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
 
 
-def active_places(lines: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
-    """Places whose line is repeated: rank of the line, and the depths of the runs of min_words words from there.
+def active_places(lines: DataFrame, min_words: int) -> DataFrame:
+    """Places whose line is repeated: rank of the line, and the depths of the runs to look for from there.
 
-    Words are summed over the active lines. A run never crosses a line that is not
-    active, so where that matters the ranks of its parts are missing. depths is empty
-    where the document ends before. With whole, the shortest runs by their last line are
-    among the depths of their first one.
+    These are the shortest run of min_words words that starts at the place, and those that are
+    the shortest ones up to some later place. Words are summed over the active lines. A
+    run never crosses a line that is not active, so where that matters the ranks of its
+    parts are missing. depths is empty where the document ends before.
     """
     found = lines.join(ranked(lines, ["h1", "h2"]), ["h1", "h2"]).repartition("doc", "mark")
     one = found.groupBy(*PLACE).agg(F.first("words").alias("words"), F.first("rank").alias("rank"))
@@ -86,8 +85,6 @@ def active_places(lines: DataFrame, min_words: int, whole: bool = False) -> Data
     within = F.count("*").over(doc.orderBy("start").rangeBetween(0, min_words - 1))
     depth = F.when(F.col("total") - F.col("start") >= min_words, within).cast("int")
     one = one.select(*PLACE, "rank", (F.col("start") + F.col("words")).alias("end"), F.array_compact(F.array(depth)).alias("depths"))
-    if not whole:
-        return one.drop("end")
     back = F.count("*").over(doc.orderBy("end").rangeBetween(1 - min_words, 0)).cast("int")
     ending = one.withColumn("back", back).filter(F.col("end") >= min_words).select("doc", "mark", (F.col("line") - F.col("back") + 1).alias("line"), "back")
     return one.join(ending.groupBy(*PLACE).agg(F.collect_set("back").alias("ending")), PLACE, "left").select(*PLACE, "rank", F.array_union("depths", F.coalesce("ending", F.array().cast("array<int>"))).alias("depths"))
@@ -100,9 +97,9 @@ def later_copies(suffixes: DataFrame) -> DataFrame:
     return suffixes.join(first, interval).filter(F.struct(*PLACE) > F.col("first")).select(*PLACE, "depth", "first")
 
 
-def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Places (doc, mark, line) and depth of the runs that occur before, with the first copy's place."""
-    level = cut(active_places(cut(places(rows)), min_words, whole))
+    level = cut(active_places(cut(places(rows)), min_words))
     asked = lambda: level.withColumn("depth", F.explode("depths")).drop("depths")
     found = later_copies(asked().filter("depth = 1").withColumn("rank2", F.col("rank")))
     q = 0
@@ -117,13 +114,13 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fal
     return found
 
 
-def deleted_spans(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def deleted_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, mark and the spans of lines to delete, of the documents that have any.
 
     A run that starts after all before it have ended opens a span; so a document's runs are
     merged in one pass over them.
     """
-    runs = repeated_runs(rows, min_words, whole).select("doc", "mark", F.col("line").alias("start"), (F.col("line") + F.col("depth")).alias("stop"))
+    runs = repeated_runs(rows, min_words).select("doc", "mark", F.col("line").alias("start"), (F.col("line") + F.col("depth")).alias("stop"))
     before = Window.partitionBy("doc", "mark").orderBy("start", "stop")
     opens = F.coalesce(F.col("start") > F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     placed = runs.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
@@ -131,6 +128,13 @@ def deleted_spans(rows: DataFrame, min_words: int = MIN_WORDS, whole: bool = Fal
     return spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
+def broadcastable(spans: DataFrame) -> DataFrame:
+    """The spans, broadcast if there are few, counted; else joined as they are, which moves the texts once."""
+    held = cut(spans)
+    n = held.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
+    return F.broadcast(held) if n <= BROADCAST_ROWS else held
+
+
 def lines_kept(lines: Column, spans: Column) -> Column:
     """The lines between the spans."""
     size = F.size(lines)
@@ -139,10 +143,10 @@ def lines_kept(lines: Column, spans: Column) -> Column:
     return F.flatten(F.zip_with(ends, bounds, lambda end, x: F.slice(lines, end + 1, x["start"] - end)))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_lines, the deleted spans of lines, n_deleted, and the text that stays."""
     rows = keyed(docs, id_col, text_col)
-    spans = deleted_spans(rows, min_words, whole).withColumnsRenamed({"doc": "doc2", "mark": "mark2"})
+    spans = broadcastable(deleted_spans(rows, min_words).withColumnsRenamed({"doc": "doc2", "mark": "mark2"}))
     out = rows.join(spans, (F.col("doc") == F.col("doc2")) & (F.col("mark") == F.col("mark2")), "left").withColumn("lines", lines_of("text"))
     kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(lines_kept(F.col("lines"), F.col("spans")), "\n"))
     spans = F.coalesce("spans", F.array().cast(SPANS))

@@ -14,7 +14,13 @@ ORACLES = {
                           string_agg(content, chr(10)) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run,
                           count(*) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS depth,
                           total - start >= 50 AS long_enough FROM b),
-             c AS (SELECT rid, line, depth, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, line) AS k FROM r WHERE long_enough),
+             f AS (SELECT rid, doc_id, line AS last,
+                          string_agg(content, chr(10)) OVER (PARTITION BY rid ORDER BY start + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS run,
+                          count(*) OVER (PARTITION BY rid ORDER BY start + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS depth,
+                          start + words >= 50 AS long_enough FROM b),
+             a AS (SELECT rid, doc_id, line, depth, run FROM r WHERE long_enough
+                   UNION SELECT rid, doc_id, last - depth + 1, depth, run FROM f WHERE long_enough),
+             c AS (SELECT rid, line, depth, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, line) AS k FROM a),
              gone AS (SELECT DISTINCT rid, unnest(range(line, line + depth)) AS line FROM c WHERE k > 1),
              m AS (SELECT l.*, gone.line IS NOT NULL AS del FROM l LEFT JOIN gone ON l.rid = gone.rid AND l.line = gone.line),
              e AS (SELECT *, del AND NOT coalesce(lag(del) OVER (PARTITION BY rid ORDER BY line), false) AS opens FROM m),
