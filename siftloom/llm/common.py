@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them when the driver collects its garbage, which a driver with little to do
+    does rarely; so a long operator calls this between its steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of narrow tables (ids and digests, 100 bytes a row at most) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -35,7 +47,7 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 HEAVY = 10_000
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """rows left-joined with facts (one row a key; n, the rows that have it, of ``total``), whatever the keys' sizes.
 
     Facts of heavy keys, fewer than HEAVY, are broadcast, so their rows stay where they are. The

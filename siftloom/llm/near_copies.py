@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import cut, sized, text_batches
+from siftloom.llm.common import cut, sized, text_batches, tidy
 from siftloom.llm.components import components
 from siftloom.llm.decontaminate import HASHES
 
@@ -154,12 +154,17 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int
     texts has the column text; rows has node and n (shingles) of each; candidates are pairs
     (a, b) of nodes to look at besides.
     """
+    spark = texts.sparkSession
     met = meets(texts, rows, shingle, similarity)
+    tidy(spark)
     middle = met.groupBy("h").agg(F.min_by(F.struct("node", "n", "pos"), F.struct("pos", "node")).alias("m")).select("h", "m.*")
     near = (F.col("x.h") == F.col("y.h")) & reach("x", "y", similarity)
     first = pairs_of(met.alias("x").join(middle.alias("y"), near & (F.col("x.node") != F.col("y.node"))))
     first = cut(first.unionByName(candidates).distinct())
+    del candidates
+    tidy(spark)
     found = verified(first, texts, shingle, similarity)
+    tidy(spark)
 
     roots = components(found)
     named = met.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
@@ -168,4 +173,6 @@ def links(texts: DataFrame, rows: DataFrame, candidates: DataFrame, shingle: int
     open_ = cut(named.join(mixed, "h"))
     apart = near & (F.col("x.root") != F.col("y.root"))
     rest = cut(pairs_of(open_.filter("root <> largest").alias("x").join(open_.alias("y"), apart)).join(first, ["a", "b"], "left_anti"))
+    del named, parts, mixed, open_
+    tidy(spark)
     return found if rest.isEmpty() else found.unionByName(verified(rest, texts, shingle, similarity))

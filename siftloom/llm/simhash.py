@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm import near_copies
-from siftloom.llm.common import cut, looked_up, one_of_each, text_batches, text_mark
+from siftloom.llm.common import cut, looked_up, one_of_each, text_batches, text_mark, tidy
 from siftloom.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -233,14 +233,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     of = lambda side: low.select(F.col("fp").alias(side), F.col("low").alias(f"{side}_low"))
     near = links(low).join(of("a"), "a").join(of("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
     both = same.unionByName(near)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def similar(docs: DataFrame, shingle: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """doc_id, mark and root, a node that names the group, for every row."""
     texts = read(docs, id_col, text_col)
     rows = cut(nodes(texts, shingle))
-    roots = components(near_copies.links(texts, rows, candidates(rows), shingle, similarity))
+    guesses = candidates(rows)
+    tidy(texts.sparkSession)
+    roots = components(near_copies.links(texts, rows, guesses, shingle, similarity))
+    tidy(texts.sparkSession)
     sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
     named = sizes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     return cut(looked_up(rows.select("doc_id", "mark", "node"), cut(named), "node", rows.count()).select("doc_id", "mark", "root"))
