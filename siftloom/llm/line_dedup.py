@@ -22,9 +22,9 @@ shortest runs from each place and up to each place are looked for.
 4. Marked runs that overlap or touch merge into spans; their lines are deleted.
 
 Shuffles carry hashes, ranks and places, never lines; groups are pre-aggregated before
-they are shuffled, and first copies are joined back, so a very common line is split
-like any other skewed join. The spans are brought to the texts while they are few, counted;
-beyond that the texts move once.
+they are shuffled, and the rank of a very common line is brought to its places, which stay
+where they are. The spans are brought to the texts while they are few, counted; beyond that
+the texts move once.
 
 Defined results: a null text is one empty line; a line without words counts as one word;
 rows alike in id and text are one document, each returned with the same result; rows
@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom.llm.common import BROADCAST_ROWS, cut
+from siftloom.llm.common import BROADCAST_ROWS, cut, looked_up
 
 MIN_WORDS = 50
 PLACE = ["doc", "mark", "line"]
@@ -64,8 +64,8 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur more than once, with a rank in their order."""
-    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    """The keys that occur more than once, how often (n), and a rank in their order."""
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     return several.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
 
 
@@ -77,7 +77,8 @@ def active_places(lines: DataFrame, min_words: int) -> DataFrame:
     run never crosses a line that is not active, so where that matters the ranks of its
     parts are missing. depths is empty where the document ends before.
     """
-    found = lines.join(ranked(lines, ["h1", "h2"]), ["h1", "h2"]).repartition("doc", "mark")
+    same = ["h1", "h2"]
+    found = looked_up(lines, cut(ranked(lines, same)), same, lines.count()).filter("n IS NOT NULL").repartition("doc", "mark")
     one = found.groupBy(*PLACE).agg(F.first("words").alias("words"), F.first("rank").alias("rank"))
     doc = Window.partitionBy("doc", "mark")
     start = F.coalesce(F.sum("words").over(doc.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -106,7 +107,7 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     while not asked().filter(F.col("depth") >= 2 << q).isEmpty():
         on = Window.partitionBy("doc", "mark").orderBy("line").rangeBetween(1 << q, 1 << q)
         pairs = level.withColumnRenamed("rank", "rank1").withColumn("rank2", F.max("rank1").over(on)).filter(F.col("rank2").isNotNull())
-        level = cut(pairs.join(ranked(pairs, ["rank1", "rank2"]), ["rank1", "rank2"]).select(*PLACE, "rank", "depths"))
+        level = cut(pairs.join(ranked(pairs, ["rank1", "rank2"]).drop("n"), ["rank1", "rank2"]).select(*PLACE, "rank", "depths"))
         q += 1
         here = asked().filter((F.col("depth") >= 1 << q) & (F.col("depth") < 2 << q)).withColumn("at", F.col("line") + F.col("depth") - (1 << q))
         ends = level.select("doc", "mark", F.col("line").alias("at"), F.col("rank").alias("rank2"))
