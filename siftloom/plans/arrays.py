@@ -65,9 +65,10 @@ def region_stats_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = a.table(spark, sf_dir, "embeddings"), F.col("embedding")
-    rows = e.withColumn("mean", arrays.mean(v)).withColumn("sd", arrays.std(v))
-    above = F.size(F.filter(v, lambda x: x.cast("double") > F.col("mean") + 1.0 * F.col("sd"))).cast("long")
-    return rows.select("vec_id", s.round6(F.col("mean"), 5).alias("mean"), s.round6(F.col("sd"), 5).alias("sd"), above.alias("above"))
+    # not named like the outputs: in a lambda, Spark takes an output of the same select before the column
+    rows = e.withColumn("whole_mean", arrays.mean(v)).withColumn("whole_sd", arrays.std(v))
+    above = F.size(F.filter(v, lambda x: x.cast("double") > F.col("whole_mean") + 1.0 * F.col("whole_sd"))).cast("long")
+    return rows.select("vec_id", s.round6(F.col("whole_mean"), 5).alias("mean"), s.round6(F.col("whole_sd"), 5).alias("sd"), above.alias("above"))
 
 
 @query(f"""

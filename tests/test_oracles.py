@@ -36,3 +36,15 @@ def test_query_equals_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_vector_statistics_counts_above_the_whole_limit(spark, tmp_path):
+    """Values between mean + sd and the sum of the two rounded ones, on either side; null and empty vectors."""
+    vectors = [(0, [0.0, 1 / 64], 0), (1, [0.0, 0.0, 1.6e-5], 0), (2, [5.0], 0), (3, [], 0), (4, None, 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(ORACLES["vector_statistics"]).fetchall()
+    got = sorted(tuple(r) for r in QUERIES["vector_statistics"](spark, str(tmp_path)).collect())
+    assert got == sorted(want)
+    assert [r[3] for r in got] == [0, 1, 0, 0, None]
