@@ -10,13 +10,19 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftloom.operators.logs import KEY, last_wins
-from siftloom.session import removed, shared_dir
+from siftloom.session import removed, shared_dir, ship
+
+PAIRS = pa.schema([("group_id", pa.string()), ("candidate_index", pa.int64())])
+#: of groups that share a state: fewer would hold more at once, more would take longer with few groups
+BUCKETS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,25 +87,53 @@ def windowed_counts(spark: SparkSession, path: str, ts: str, size: str, late: st
     return last
 
 
-def completions(log: DataFrame, k: int) -> DataFrame:
-    """A stream's groups, each emitted once when it has k decided candidates: state per group, bounded by k indexes."""
+def distinct(pairs: pa.Table) -> pa.Table:
+    return pairs.group_by(KEY, use_threads=False).aggregate([])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, told = state.get if state.exists else ([], False)
-        decided = set(seen)
+
+def packed(pairs: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, pairs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(pairs.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def completions(log: DataFrame, k: int, buckets: int = BUCKETS) -> DataFrame:
+    """A stream's groups, each emitted once when it has k decided candidates (k from 1); n is their number then.
+
+    State is kept per bucket of groups' hashes, not per group, so that Python works on columns
+    of many groups at once. A bucket has up to k - 1 indexes of each open group, and one row
+    without an index for each group told. Null indexes count for nothing. A checkpoint holds
+    for one number of buckets.
+    """
+    ship(log.sparkSession)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a group with very many rows is reduced before it is shuffled
         for batch in batches:
-            decided |= set(batch.loc[batch.status.isin(["accepted", "rejected"]), "candidate_index"].tolist())
-        done = len(decided) >= k
-        state.update((sorted(int(i) for i in decided)[:k], told or done))
-        yield pd.DataFrame({"group_id": [key[0]] if done and not told else [], "n": [len(decided)] if done and not told else []})
+            yield from distinct(pa.Table.from_batches([batch])).to_batches()
 
-    return log.groupBy("group_id").applyInPandasWithState(step, "group_id string, n long", "seen array<long>, told boolean", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else PAIRS.empty_table()]
+        parts += (distinct(pa.Table.from_pandas(batch[KEY], PAIRS, preserve_index=False)) for batch in batches)
+        pairs = distinct(pa.concat_tables(parts))
+        groups = pairs.group_by("group_id", use_threads=False).aggregate([("candidate_index", "count"), ([], "count_all")])
+        n, told = groups["candidate_index_count"], pc.not_equal(groups["candidate_index_count"], groups["count_all"])
+        closed = pc.or_(told, pc.greater_equal(n, k))
+        ended = groups["group_id"].filter(closed)
+        state.update((packed(pa.concat_tables([pairs.filter(pc.invert(pc.is_in(pairs["group_id"], ended))), pa.table([ended, pa.nulls(len(ended), pa.int64())], PAIRS)])),))
+        yield groups.filter(pc.and_not(closed, told)).select(["group_id", "candidate_index_count"]).rename_columns(["group_id", "n"]).to_pandas()
+
+    decided = log.filter(F.col("status").isin("accepted", "rejected") & F.col("candidate_index").isNotNull())
+    rows = decided.select(F.col("group_id").cast("string").alias("group_id"), F.col("candidate_index").cast("long").alias("candidate_index"))
+    rows = rows.mapInArrow(once, "group_id string, candidate_index long").withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandasWithState(step, "group_id string, n long", "pairs binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def completed_groups(spark: SparkSession, path: str, to_log: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """The groups that a stream of a log's files completes, each once, in the order of no batch."""
     folder = shared_folder(spark)
-    query = completions(to_log(file_stream(spark, path)), k).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    files = file_stream(spark, path, 1024)  # few batches: each one that comes to a bucket writes its state anew
+    query = completions(to_log(files), k).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("group_id string, n long").parquet(f"{folder}/out")
 

@@ -1,5 +1,7 @@
 import json
+import random
 import time
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,27 @@ def test_stream_completions(spark, tmp_path):
     assert [(r["group_id"], r["n"]) for r in spark.sql("SELECT * FROM done").collect()] == [("g", 2)]
 
 
+def test_completions_of_many_groups(spark, tmp_path):
+    """Each group once over restarts, with the n of a loop; nulls count for nothing; groups share states."""
+    log, out, rng = str(tmp_path / "log"), str(tmp_path / "out"), random.Random(3)
+    seen, told, want = defaultdict(set), set(), []
+    for _ in range(3):
+        rows = [(None if rng.random() < 0.02 else f"g{rng.randrange(2000)}", rng.choice([None, 0, 1, 2, 3, -9]), rng.choice(["accepted", "rejected", "generated"])) for _ in range(4000)]
+        rows += [("hot", k % 5, "accepted") for k in range(500)]
+        spark.createDataFrame(rows, "group_id string, candidate_index long, status string").coalesce(1).write.mode("append").parquet(log)
+        for group, index, status in rows:
+            if index is not None and status != "generated":
+                seen[group].add(index)
+        new = {g for g in seen if len(seen[g]) >= 3} - told
+        want += [(g, len(seen[g])) for g in new]
+        told |= new
+        q = upsert.completions(upsert.file_stream(spark, log), 3).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = [(r["group_id"], r["n"]) for r in spark.read.parquet(out).collect()]
+    assert ("hot", 5) in got and len(told) > 500 and sorted(got, key=str) == sorted(want, key=str)
+    assert len(seen) > 1500 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+
+
 def test_progress_of_streams(spark, tmp_path):
     """A row a batch, with the rows that it read."""
     spark.range(20).repartition(2).write.parquet(str(tmp_path / "in"))
